@@ -38,7 +38,7 @@ def _pct(c: Column, digits: int = 1) -> Column:
 def gate_ocr(p: Policy) -> Column:
     """F1."""
     t = float(p.ocr_threshold)
-    return F.when(F.col("ocr_used") & (F.col("ocr_confidence") < F.lit(t)),
+    return (F.col("ocr_used") & (F.col("ocr_confidence") < F.lit(t)),
                   _decision("ocr_confidence_gate", "escalate", "human_review", ROLE_INTAKE,
                             F.format_string("OCR confidence %s is below the %s threshold. Manual verification required.",
                                             _pct(F.col("ocr_confidence")), F.lit(f"{t:.0%}")),
@@ -48,7 +48,7 @@ def gate_ocr(p: Policy) -> Column:
 
 def gate_duplicate(p: Policy) -> Column:
     """F2."""
-    return F.when(F.col("is_duplicate") & ~missing(F.col("invoice_number")) & ~missing(F.col("vendor_name")),
+    return (F.col("is_duplicate") & ~missing(F.col("invoice_number")) & ~missing(F.col("vendor_name")),
                   _decision("duplicate_detection", "block", "human_review", ROLE_ANOMALY,
                             F.format_string("Duplicate detected: invoice %s from '%s' already processed (ID: %s) within %d days.",
                                             F.col("invoice_number"), F.col("vendor_name"),
@@ -58,10 +58,11 @@ def gate_duplicate(p: Policy) -> Column:
 
 def gate_unknown_vendor(p: Policy) -> Column:
     """F3."""
-    return (F.when(missing(F.col("vendor_name")),
+    return (missing(F.col("vendor_name")) | ~F.col("vendor_approved"),
+            F.when(missing(F.col("vendor_name")),
                    _decision("unknown_vendor", "escalate", "human_review", ROLE_VALIDATION,
                              F.lit("Vendor name could not be extracted. Invoice held for manual review.")))
-            .when(~F.col("vendor_approved"),
+            .otherwise(
                   _decision("unknown_vendor", "escalate", "human_review", ROLE_VALIDATION,
                             F.format_string("Vendor '%s' is not in the approved vendor registry. "
                                             "Payment is held pending vendor onboarding verification.",
@@ -73,7 +74,7 @@ def gate_variance(p: Policy) -> Column:
     """F4."""
     t = float(p.variance_threshold)
     v = variance_double()
-    return F.when(outlier_applies() & abs_variance_exceeds(p.variance_threshold),
+    return (outlier_applies() & abs_variance_exceeds(p.variance_threshold),
                   _decision("variance_threshold", "flag", "human_review", ROLE_VALIDATION,
                             F.format_string("Invoice total %s differs from PO %s amount %s by %s, exceeding the %s threshold.",
                                             F.col("total").cast("string"), F.col("po_number"),
@@ -100,7 +101,7 @@ def gate_materiality(p: Policy) -> Column:
     label = (F.when(lvl == "l3_vp_cfo", F.lit(f"${p.materiality_l3:,.0f} L3 VP/CFO"))
              .when(lvl == "l2_controller", F.lit(f"${p.materiality_l2:,.0f} L2 Controller"))
              .otherwise(F.lit(f"${p.materiality_l1:,.0f} L1 Manager")))
-    return F.when(lvl.isNotNull(),
+    return (lvl.isNotNull(),
                   _decision("materiality_gate", "escalate", lvl, ROLE_RECONCILIATION,
                             F.format_string("Invoice total %s meets or exceeds the %s approval threshold.",
                                             F.col("total").cast("string"), label),
@@ -112,7 +113,7 @@ def gate_materiality(p: Policy) -> Column:
 def gate_confidence(p: Policy, below: Column, value: Column, actor: str) -> Column:
     """strict '<' against the agent threshold."""
     t = float(p.agent_threshold)
-    return F.when(below,
+    return (below,
                   _decision("agent_confidence_gate", "escalate", "human_review", actor,
                             F.format_string("Agent %s reported confidence %s, below the %s threshold. "
                                             "Escalating for human review.", F.lit(actor), _pct(value),
@@ -120,7 +121,8 @@ def gate_confidence(p: Policy, below: Column, value: Column, actor: str) -> Colu
                             F.lit(t), value, F.struct(value.alias("agent_confidence"))))
 
 
-def gate_columns(p: Policy = DEFAULT_POLICY) -> dict[str, Column]:
+def gate_columns(p: Policy = DEFAULT_POLICY) -> dict[str, tuple[Column, Column]]:
+    """gate -> (fires?, decision struct). A disabled gate (F13) never fires."""
     t = p.agent_threshold
     gates = {
         "g_ocr": gate_ocr(p),
@@ -140,29 +142,41 @@ def gate_columns(p: Policy = DEFAULT_POLICY) -> dict[str, Column]:
                "g_conf_extract": "agent_confidence_gate", "g_vendor": "unknown_vendor",
                "g_variance": "variance_threshold", "g_conf_validate": "agent_confidence_gate",
                "g_materiality": "materiality_gate", "g_conf_anomaly": "agent_confidence_gate"}
-    # a disabled gate (F13) never fires; the column keeps its type
-    return {k: (v if p.enabled(rule_of[k]) else F.when(F.lit(False), v)) for k, v in gates.items()}
+    return {k: ((c if p.enabled(rule_of[k]) else F.lit(False)), d) for k, (c, d) in gates.items()}
 
 
 def govern(df: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """F7-F11 on a validated + analysed frame."""
-    out = df.withColumns(gate_columns(policy))
-    decisions = F.array_compact(F.array(*[F.col(g) for g in GATE_ORDER]))
-    out = out.withColumn("decisions", decisions).drop(*GATE_ORDER)
-    dec_ = F.col("decisions")
-    has_block = F.exists(dec_, lambda d: d["decision"] == "block")
-    has_esc = F.exists(dec_, lambda d: d["decision"].isin("escalate", "flag"))
-    gate_status = (F.when(F.size(dec_) == 0, "validated").when(has_block, "rejected")
+    """F7-F11 on a validated + analysed frame.
+
+    Status, first escalation level and notes are computed from the gate
+    columns with plain CASE / coalesce / concat_ws (all inside whole-stage
+    codegen); the ordered array is built once, for output only.
+    """
+    specs = gate_columns(policy)
+    # cheap boolean columns first; status and counts only read these
+    out = df.withColumns({f"{g}_on": specs[g][0] for g in GATE_ORDER})
+    on = [F.col(f"{g}_on") for g in GATE_ORDER]
+    n = on[0].cast("int")
+    for c in on[1:]:
+        n = n + c.cast("int")
+    has_block = F.col("g_dup_on")                   # the only blocking gate
+    has_esc = F.greatest(*[F.col(f"{g}_on") for g in GATE_ORDER if g != "g_dup"])
+    gate_status = (F.when(n == 0, "validated").when(has_block, "rejected")
                    .when(has_esc, "on_hold").otherwise("validated"))
     flagged = ((F.col("validation_status") == "fail") & (F.col("risk_dec") > dec(policy.flag_risk_floor, 4, 2))
                & (gate_status == "validated"))
-    first_level = F.try_element_at(F.filter(dec_, lambda d: d["escalation_level"] != "none"), F.lit(1))
-    return out.withColumns({
+    # every gate escalates to a level other than 'none': the first fired gate's level
+    first_level = F.coalesce(*[F.when(F.col(f"{g}_on"), specs[g][1]["escalation_level"]) for g in GATE_ORDER])
+    out = out.withColumns({
         "status": F.when(flagged, "flagged").otherwise(gate_status),
-        "escalation_level": F.coalesce(first_level["escalation_level"], F.lit("none")),
-        "n_decisions": F.size(dec_),
-        "notes": F.array_join(F.transform(dec_, lambda d: d["reason"]), "; "),
+        "escalation_level": F.coalesce(first_level, F.lit("none")),
+        "n_decisions": n,
     })
+    out = out.withColumns({g: F.when(F.col(f"{g}_on"), specs[g][1]) for g in GATE_ORDER})
+    gates = [F.col(g) for g in GATE_ORDER]
+    return (out.withColumns({"notes": F.concat_ws("; ", *[g["reason"] for g in gates]),
+                             "decisions": F.array_compact(F.array(*gates))})
+            .drop(*GATE_ORDER, *[f"{g}_on" for g in GATE_ORDER]))
 
 
 def decision_rows(scored: DataFrame) -> DataFrame:

@@ -33,4 +33,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{mod}")
 
 
-MODULES = ["q_scoring"]
+MODULES = ["q_scoring", "q_review"]

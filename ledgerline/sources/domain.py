@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..policy import RATIONALE_CATEGORIES
+from ..policy import CURRENCIES, RATIONALE_CATEGORIES
 from .tables import read_table
 
 D12_2 = "decimal(12,2)"
@@ -148,12 +148,15 @@ def human_decisions(spark: SparkSession, sf_dir: str,
                     invoices_df: DataFrame | None = None) -> DataFrame:
     """Reviewer decisions from the event stream.
 
-    The decided invoice is the first invoice (by id) of order ``event_id``;
-    events whose order has no line items point at an id that matches nothing.
+    The decided invoice is the first stored invoice (by id) of order
+    ``event_id``; events whose order has none point at an id that matches
+    nothing (``ORPHAN-<event_id>``).
     """
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type",
                     "value", "props")
     inv = invoices_df if invoices_df is not None else invoices(spark, sf_dir)
+    # only stored invoices (a supported currency) can be reviewed
+    inv = inv.where(F.upper(F.col("currency")).isin(*CURRENCIES))
     first = inv.groupBy("order_key").agg(F.min("invoice_id").alias("_inv"))
     k = F.get_json_object("props", "$.k").cast("bigint")
     dec = F.col("event_type")
