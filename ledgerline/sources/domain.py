@@ -131,7 +131,12 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_name")
     j = li.join(p, li.l_partkey == p.p_partkey, "left")
     qty = F.col("l_quantity").cast("decimal(12,2)")
-    unit = F.col("l_extendedprice").cast(D12_2) / F.when(qty == 0, None).otherwise(qty)
+    # unit price = price / quantity rounded half-up to cents, in exact integers
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    q = F.col("l_quantity").cast("bigint")
+    num, den = cents * 2 + q, q * 2
+    unit_cents = ((num - F.pmod(num, den)) / den).cast("bigint")
+    unit = F.when(q > 0, unit_cents.cast("decimal(18,0)") / 100)
     return j.select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").alias("line_no"),
