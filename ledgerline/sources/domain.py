@@ -109,10 +109,22 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("ocr_used"),
         (1 - 3 * F.col("l_discount")).cast(D4_2).cast("double").alias("ocr_confidence"),
         F.col("l_shipdate").alias("created_at"),
+        F.col("l_quantity").cast("decimal(12,2)").alias("quantity"),
+        unit_price_col().alias("unit_price"),
+        F.col("l_partkey").alias("part_key"),
     )
     return out.withColumn("extraction_confidence", extraction_confidence_col())
 
 
+def unit_price_col() -> Column:
+    """price / quantity rounded half-up to cents, in exact integers."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    q = F.col("l_quantity").cast("bigint")
+    num, den = cents * 2 + q, q * 2
+    unit_cents = ((num - F.pmod(num, den)) / den).cast("bigint")
+    return F.when(q > 0, unit_cents.cast("decimal(18,0)") / 100).cast(D18_2)
+
+
 def extraction_confidence_col() -> Column:
     """Share of the five key fields that are present (raw strings count)."""
     from ..functions.cols import missing
@@ -131,12 +143,7 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_name")
     j = li.join(p, li.l_partkey == p.p_partkey, "left")
     qty = F.col("l_quantity").cast("decimal(12,2)")
-    # unit price = price / quantity rounded half-up to cents, in exact integers
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    q = F.col("l_quantity").cast("bigint")
-    num, den = cents * 2 + q, q * 2
-    unit_cents = ((num - F.pmod(num, den)) / den).cast("bigint")
-    unit = F.when(q > 0, unit_cents.cast("decimal(18,0)") / 100)
+    unit = unit_price_col()
     return j.select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").alias("line_no"),
