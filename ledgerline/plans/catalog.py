@@ -33,4 +33,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{mod}")
 
 
-MODULES = ["q_scoring", "q_review", "q_audit", "q_registry", "q_text", "q_retrieval"]
+MODULES = ["q_scoring", "q_review", "q_audit", "q_registry", "q_text", "q_retrieval", "q_stream"]

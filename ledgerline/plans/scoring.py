@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.anomaly import analyze
-from ..operators.enrich import enrich
+from ..operators.enrich import enrich, match_pos, match_vendors
 from ..operators.governance import govern
 from ..operators.validate import validate
 from ..policy import DEFAULT_POLICY, Policy
@@ -20,9 +20,25 @@ def normalise_currency(inv: DataFrame) -> DataFrame:
 
 
 def score(inv: DataFrame, vendors: DataFrame, pos: DataFrame,
-          policy: Policy = DEFAULT_POLICY, history: DataFrame | None = None) -> DataFrame:
-    """Invoices -> every check, flag, gate decision and final status."""
-    e = enrich(normalise_currency(inv), vendors, pos, policy, history)
+          policy: Policy = DEFAULT_POLICY, history: DataFrame | None = None,
+          duplicates: DataFrame | bool = True) -> DataFrame:
+    """Invoices -> every check, flag, gate decision and final status.
+
+    ``duplicates``: True computes the 90-day history here (batch); a
+    DataFrame of (invoice_id, is_duplicate, duplicate_of,
+    duplicate_of_created_at) supplies it from elsewhere (the streaming
+    detector); False scores without a history."""
+    inv = normalise_currency(inv)
+    if duplicates is True:
+        e = enrich(inv, vendors, pos, policy, history)
+    else:
+        e = match_pos(match_vendors(inv, vendors), pos)
+        if duplicates is False:
+            e = e.withColumns({"is_duplicate": F.lit(False), "duplicate_of": F.lit(None).cast("string"),
+                               "duplicate_of_created_at": F.lit(None).cast("timestamp_ntz")})
+        else:
+            e = e.join(duplicates, "invoice_id", "left").withColumn(
+                "is_duplicate", F.coalesce(F.col("is_duplicate"), F.lit(False)))
     return govern(analyze(validate(e, policy), policy), policy)
 
 

@@ -74,12 +74,16 @@ def purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("open").alias("status")))
 
 
-def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+LINEITEM_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_shipdate")
+
+
+def invoices(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """One invoice per line item, with the nulling/renaming rules that make the
-    checks fire (missing numbers, unlisted vendors, unknown POs, bad currency)."""
-    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
-                    "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                    "l_returnflag", "l_shipdate")
+    checks fire (missing numbers, unlisted vendors, unknown POs, bad currency).
+    ``lineitem`` may be a stream (the supplier side is then a static join)."""
+    li = (lineitem.select(*LINEITEM_COLS) if lineitem is not None
+          else read_table(spark, sf_dir, "lineitem", *LINEITEM_COLS))
     s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
     j = li.join(s, li.l_suppkey == s.s_suppkey, "left")
     ext = F.col("l_extendedprice").cast(D12_2)
