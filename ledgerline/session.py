@@ -36,18 +36,25 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+_LOCAL_CHECKPOINT_DIRS: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only if unset.
+    """Return the session's checkpoint folder, making a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is; a machine-local temporary folder is only created for local runs.
+    is (it is a launch-time setting and cannot be changed on a running
+    session). A machine-local temporary folder is only created for local runs,
+    once per application.
     """
-    current = (spark.conf.get("spark.checkpoint.dir", None)
-               or spark.sparkContext.getConf().get("spark.checkpoint.dir", None))
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        current = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        current = _LOCAL_CHECKPOINT_DIRS.get(sc.applicationId)
+        if current is None:
+            current = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
+            _LOCAL_CHECKPOINT_DIRS[sc.applicationId] = current
+    sc.setCheckpointDir(current)
     return current

@@ -77,13 +77,17 @@ def duplicate_stream(inv_stream: DataFrame, policy: Policy = DEFAULT_POLICY,
 
 def run_to_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Drive a streaming plan over everything available (availableNow) into a
-    memory table; the checkpoint lives under the session's checkpoint folder."""
+    parquet table; table and checkpoint live under the session's shared
+    checkpoint folder, so nothing is held on the driver and a restarted query
+    resumes from its checkpoint."""
     table = f"{name}_{uuid.uuid4().hex[:8]}"
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", table)
-    q = (df.writeStream.format("memory").queryName(table).outputMode("append")
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", table)
+    q = (df.writeStream.format("parquet").outputMode("append")
+         .option("path", os.path.join(base, "data"))
+         .option("checkpointLocation", os.path.join(base, "checkpoint"))
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(table)
+    return spark.read.schema(df.schema).parquet(os.path.join(base, "data"))
 
 
 def stream_duplicates(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:

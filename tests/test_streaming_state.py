@@ -1,0 +1,57 @@
+"""The keyed 90-day duplicate state (K2) as a pure function, with a stub
+group state: across micro-batches, out of order inside a batch, expiry."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pandas as pd
+
+from ledgerline.streaming.gates import _dup_state_fn
+
+
+class StubState:
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timeout = None, False, None
+
+    @property
+    def exists(self):
+        return self.value is not None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+
+def _batch(rows):
+    return [pd.DataFrame({"invoice_id": [r[0] for r in rows],
+                          "ts": pd.to_datetime([r[1] for r in rows])})]
+
+
+def test_duplicates_across_batches_and_order():
+    step, st = _dup_state_fn(90), StubState()
+    out1 = next(step(("n", "v"), _batch([("b", "2024-05-01"), ("a", "2024-01-01")]), st))
+    assert dict(zip(out1.invoice_id, out1.is_duplicate)) == {"a": False, "b": False}
+    out2 = next(step(("n", "v"), _batch([("c", "2024-07-30")]), st))
+    assert bool(out2.is_duplicate[0]) and out2.duplicate_of[0] == "b"
+    out3 = next(step(("n", "v"), _batch([("d", "2024-12-01")]), st))
+    assert not bool(out3.is_duplicate[0])
+    expiry = dt.datetime(2024, 12, 1, tzinfo=dt.timezone.utc) + dt.timedelta(days=90)
+    assert st.timeout == int(expiry.timestamp() * 1000) + 1
+
+
+def test_timed_out_state_is_removed():
+    step, st = _dup_state_fn(90), StubState()
+    next(step(("n", "v"), _batch([("a", "2024-01-01")]), st))
+    st.hasTimedOut = True
+    assert list(step(("n", "v"), iter([]), st)) == []
+    assert not st.exists
