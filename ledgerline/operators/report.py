@@ -83,8 +83,21 @@ def agent_decision_rows(stored: DataFrame, policy: Policy = DEFAULT_POLICY) -> D
     """Four stage rows per invoice (intake, extraction, validation, anomaly).
     Intake confidence = min(ocr, classification + 0.2); structured rows are
     classified as invoices with confidence 1.0."""
+    stages = agent_stages()
+    t = float(policy.agent_threshold)
+    return (stored.select("invoice_id", "created_at", F.posexplode(stages).alias("stage_no", "s"))
+            .select(F.md5(F.concat_ws("|", "invoice_id", F.col("s.agent_role"))).alias("decision_id"),
+                    "invoice_id", "stage_no", F.col("s.agent_role").alias("agent_role"),
+                    F.col("s.confidence").alias("confidence"),
+                    (F.col("s.gated") & (F.col("s.confidence") < F.lit(t))).alias("escalated"),
+                    F.col("created_at").alias("timestamp")))
+
+
+def agent_stages():
+    """The four stage results of one scored invoice, as an array of
+    (agent_role, confidence, gated) structs."""
     intake = F.least(F.col("ocr_confidence"), F.lit(1.2))
-    stages = F.array(
+    return F.array(
         F.struct(F.lit(ROLE_INTAKE).alias("agent_role"), intake.alias("confidence"), F.lit(False).alias("gated")),
         F.struct(F.lit(ROLE_EXTRACTION).alias("agent_role"), F.col("extraction_confidence").alias("confidence"),
                  F.lit(True).alias("gated")),
@@ -92,13 +105,6 @@ def agent_decision_rows(stored: DataFrame, policy: Policy = DEFAULT_POLICY) -> D
                  F.lit(True).alias("gated")),
         F.struct(F.lit(ROLE_ANOMALY).alias("agent_role"), F.col("anomaly_confidence").alias("confidence"),
                  F.lit(True).alias("gated")))
-    t = float(policy.agent_threshold)
-    return (stored.select("invoice_id", "created_at", F.posexplode(stages).alias("stage_no", "s"))
-            .select(F.md5(F.concat_ws("|", "invoice_id", F.col("s.agent_role"))).alias("decision_id"),
-                    "invoice_id", "stage_no", F.col("s.agent_role").alias("agent_role"),
-                    F.col("s.confidence").alias("confidence"),
-                    (F.col("s.gated") & (F.col("s.confidence") < F.lit(t))).alias("escalated"),
-                    F.col("created_at").alias("timestamp")))
 
 
 def governance_kpis(stored: DataFrame, decisions: DataFrame, agents: DataFrame) -> DataFrame:
