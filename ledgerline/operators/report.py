@@ -4,7 +4,7 @@ conditional counts/sums (map-side partial aggregation, no per-status scans)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..policy import (DEFAULT_POLICY, ROLE_ANOMALY, ROLE_EXTRACTION, ROLE_INTAKE,
@@ -107,31 +107,42 @@ def agent_stages():
                  F.lit(True).alias("gated")))
 
 
-def governance_kpis(stored: DataFrame, decisions: DataFrame, agents: DataFrame) -> DataFrame:
-    """The twelve dashboard numbers as three single-row aggregates."""
+def governance_kpis(stored: DataFrame) -> DataFrame:
+    """The twelve dashboard numbers as one single-row aggregate over the
+    scored rows: decision counts come from each row's decision array and the
+    confidence mean from its four stage confidences, so the scoring plan is
+    read once (partial aggregates per task, one row shuffled per task)."""
     st = F.col("status")
-    k1 = stored.agg(F.count(F.lit(1)).alias("total_processed"),
-                    _count_if(st.isin("pending", "on_hold", "flagged")).alias("pending_review"),
-                    _count_if(st == "approved").alias("auto_approved"),
-                    _count_if(F.col("ocr_confidence") < F.lit(0.85)).alias("ocr_failures"))
-    lvl, rule = F.col("escalation_level"), F.col("rule_triggered")
-    k2 = decisions.agg(_count_if(lvl == "l1_manager").alias("escalated_l1"),
-                       _count_if(lvl == "l2_controller").alias("escalated_l2"),
-                       _count_if(lvl == "l3_vp_cfo").alias("escalated_l3"),
-                       _count_if(F.col("decision") == "block").alias("blocked"),
-                       _count_if(rule == "duplicate_detection").alias("duplicate_flags"),
-                       _count_if(rule == "unknown_vendor").alias("unknown_vendor_flags"),
-                       _count_if(rule == "variance_threshold").alias("amount_variance_flags"))
-    # mean of confidences rounded to 3 places, in exact integer thousandths
-    k = F.round(F.col("confidence") * 1000).cast("bigint")
-    k3 = (agents.agg(F.sum(k).alias("_s"), F.count(F.lit(1)).alias("_n"))
-          .select(F.when(F.col("_n") == 0, F.lit(0.0))
-                  .otherwise(F.expr("(2 * _s + _n) div (2 * _n)").cast("double") / F.lit(1000.0))
-                  .alias("avg_confidence")))
-    return k1.crossJoin(k2).crossJoin(k3).select(
-        "total_processed", "pending_review", "auto_approved", "ocr_failures", "escalated_l1",
-        "escalated_l2", "escalated_l3", "blocked", "duplicate_flags", "unknown_vendor_flags",
-        "amount_variance_flags", "avg_confidence")
+
+    def n_decisions(pred) -> Column:
+        return F.sum(F.size(F.filter("decisions", pred)))
+
+    # stage confidences in exact integer thousandths; a NULL confidence is
+    # skipped by the sum but still counted, as a row of the stage table
+    k = F.transform(agent_stages(), lambda s: F.round(s["confidence"] * 1000).cast("bigint"))
+    row_k = F.aggregate(k, F.lit(None).cast("bigint"),
+                        lambda acc, x: F.when(x.isNull(), acc).otherwise(F.coalesce(acc, F.lit(0).cast("bigint")) + x))
+    agg = stored.agg(
+        F.count(F.lit(1)).alias("total_processed"),
+        _count_if(st.isin("pending", "on_hold", "flagged")).alias("pending_review"),
+        _count_if(st == "approved").alias("auto_approved"),
+        _count_if(F.col("ocr_confidence") < F.lit(0.85)).alias("ocr_failures"),
+        n_decisions(lambda d: d["escalation_level"] == "l1_manager").alias("escalated_l1"),
+        n_decisions(lambda d: d["escalation_level"] == "l2_controller").alias("escalated_l2"),
+        n_decisions(lambda d: d["escalation_level"] == "l3_vp_cfo").alias("escalated_l3"),
+        n_decisions(lambda d: d["decision"] == "block").alias("blocked"),
+        n_decisions(lambda d: d["rule_triggered"] == "duplicate_detection").alias("duplicate_flags"),
+        n_decisions(lambda d: d["rule_triggered"] == "unknown_vendor").alias("unknown_vendor_flags"),
+        n_decisions(lambda d: d["rule_triggered"] == "variance_threshold").alias("amount_variance_flags"),
+        F.sum(row_k).alias("_s"), F.coalesce(F.sum(F.size(agent_stages())), F.lit(0)).alias("_n"))
+    counts = ["escalated_l1", "escalated_l2", "escalated_l3", "blocked", "duplicate_flags",
+              "unknown_vendor_flags", "amount_variance_flags"]
+    return agg.select(
+        "total_processed", "pending_review", "auto_approved", "ocr_failures",
+        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counts],
+        F.when(F.col("_n") == 0, F.lit(0.0))
+        .otherwise(F.expr("(2 * _s + _n) div (2 * _n)").cast("double") / F.lit(1000.0))
+        .alias("avg_confidence"))
 
 
 def dashboard_series(kpis: DataFrame) -> DataFrame:

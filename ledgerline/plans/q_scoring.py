@@ -297,7 +297,7 @@ kpis AS (SELECT * FROM k1, k2, k3)"""
 @query("governance_kpis", KPI_SQL + " SELECT * FROM kpis")
 def governance_kpis(spark, sf):
     st = stored(spark, sf)
-    return report.governance_kpis(st, decision_rows(st), report.agent_decision_rows(st))
+    return report.governance_kpis(st)
 
 
 @query("dashboard_series", KPI_SQL + """
