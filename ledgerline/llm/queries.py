@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.sources.tables import read_table
 
-from . import simhash
+from . import simhash, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,10 @@ def register(fn):
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents (3-word shingles, 3 bits)."""
     return simhash.simhash_components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents by byte_bpe_50k.json."""
+    counts = token_count.token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return counts.withColumn("over_limit", counts.n_tokens > 1024)
