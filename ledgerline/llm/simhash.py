@@ -66,9 +66,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return map_texts(docs, batch, "doc_id long, fp long")
 
 
-def cut_trie(prefixes: np.ndarray, counts: np.ndarray, target: int) -> list[tuple[int, int]]:
+def cut_trie(prefixes: np.ndarray, counts: np.ndarray, target: int,
+             least_depth: int = 4) -> list[tuple[int, int]]:
     """Nodes (prefix, depth) that cover the trie, each with at most ``target``
-    fingerprints unless it lies at full prefix depth."""
+    fingerprints unless it lies at full prefix depth. ``least_depth`` keeps
+    enough cells for the tasks, and the copies of a fingerprint about as many
+    at every size of the input."""
     total = np.zeros(1 << PREFIX_BITS, np.int64)
     total[prefixes] = counts
     before = np.concatenate([[0], np.cumsum(total)])
@@ -77,7 +80,7 @@ def cut_trie(prefixes: np.ndarray, counts: np.ndarray, target: int) -> list[tupl
         prefix, depth = todo.pop()
         shift = PREFIX_BITS - depth
         size = before[(prefix + 1) << shift] - before[prefix << shift]
-        if size > target and depth < PREFIX_BITS:
+        if depth < least_depth or (size > target and depth < PREFIX_BITS):
             todo += [(prefix * 2, depth + 1), (prefix * 2 + 1, depth + 1)]
         elif size:
             cells.append((prefix, depth))
@@ -186,7 +189,7 @@ def compare(values: np.ndarray, nodes: np.ndarray, max_bits: int, forest: Forest
     forest.add(i[near], j[near])
 
 
-def near_links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, target: int = 1 << 15) -> DataFrame:
+def near_links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, target: int = 1 << 18) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) at ``max_bits``
     or fewer differing bits: a spanning forest of each cell pair, so that the
     components are those of all links."""
@@ -208,18 +211,21 @@ def near_links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, target: int =
                 routes[j].append(i * n + j)
     routes = [np.array(r, np.int64) for r in routes]
 
+    def cell_of(fp: np.ndarray) -> np.ndarray:
+        return np.searchsorted(starts, (fp >> np.uint64(64 - PREFIX_BITS)).astype(np.int64), "right") - 1
+
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             fp = pdf["fp"].to_numpy().view(np.uint64)
-            cell = np.searchsorted(starts, (fp >> np.uint64(64 - PREFIX_BITS)).astype(np.int64), "right") - 1
+            cell = cell_of(fp)
             for c in np.unique(cell):
                 mine, to = pdf["fp"].to_numpy()[cell == c], routes[c]
-                yield pd.DataFrame({"pair": np.repeat(to, len(mine)), "fp": np.tile(mine, len(to)),
-                                    "cell": np.int64(c)})
+                yield pd.DataFrame({"pair": np.repeat(to, len(mine)), "fp": np.tile(mine, len(to))})
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = divmod(int(key[0]), n)
-        fp, cell = pdf["fp"].to_numpy().view(np.uint64), pdf["cell"].to_numpy()
+        fp = pdf["fp"].to_numpy().view(np.uint64)
+        cell = cell_of(fp)
         left, right = np.sort(fp[cell == i]), np.sort(fp[cell == j])
         if i == j:
             values, a, b = left, (0, len(left)), (0, len(left))
@@ -232,7 +238,7 @@ def near_links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, target: int =
         signed = values.view(np.int64)
         return pd.DataFrame({"a": signed[links[:, 0]], "b": signed[links[:, 1]]})
 
-    routed = distinct_fps.select("fp").mapInPandas(route, "pair long, fp long, cell long")
+    routed = distinct_fps.select("fp").mapInPandas(route, "pair long, fp long")
     return routed.groupBy("pair").applyInPandas(walk, "a long, b long")
 
 

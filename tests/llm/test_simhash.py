@@ -67,7 +67,7 @@ def test_trie_finds_every_component_in_dense_and_sparse_sets(spark):
             fps.add(x)
     fps = sorted(fps)
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    for target in (50, 1 << 15):     # many small cells, one cell
+    for target in (50, 1 << 18):     # many small cells, few
         links = simhash.near_links(df, 3, target=target)
         roots = {r.node: r.root for r in connected_components(links).collect()}
         want = brute_components(fps, fps)
