@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.sources.tables import read_table
 
-from . import simhash, token_count
+from . import language, quality_rules_model, simhash, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,19 @@ def register(fn):
     return fn
 
 
+@register
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by the sparse rule ensemble."""
+    return quality_rules_model.quality(read_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                       read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@register
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents: family, then language."""
+    return language.language_id(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 @register
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents (3-word shingles, 3 bits)."""
@@ -31,3 +44,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents by byte_bpe_50k.json."""
     counts = token_count.token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return counts.withColumn("over_limit", counts.n_tokens > 1024)
+
+
+@register
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by the weighted lexicon."""
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents", "doc_id", "text"),
+                             read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
