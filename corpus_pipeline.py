@@ -1,14 +1,76 @@
-"""Training-corpus pipeline over ``documents`` (stages follow)."""
+"""Training-corpus pipeline over ``documents``.
+
+Five stages, each calling one operator of ``ledgerline.llm``; every stage's
+result is written as Parquet and read back as the next one's documents. All
+but the last return the columns of ``documents``.
+
+1. language: rows whose language cannot be told (no letter, or hardly any
+   confidence) go.
+2. near_duplicates: of each SimHash component the row with the smallest doc_id
+   stays. Rows without a doc_id cannot be named and pass unchanged; of rows
+   with the same doc_id one stays.
+3. repeats: bytes covered by 200-byte strings that also start elsewhere are cut
+   out (a character cut in two goes too) and n_chars is set anew; rows of which
+   nothing but white space is left go.
+4. decontamination: rows that hold a benchmark passage go.
+5. packing: one row for each sequence, with bucket and batch.
+
+Empty tables pass all stages; repeated rows are treated as each operator says."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.llm import decontaminate, language, packing, simhash, suffix_dedup
+from ledgerline.llm.common import written
+from ledgerline.sources.tables import read_table
+
+MIN_SCORE = 0.2
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_known(docs, language.learn(docs), MIN_SCORE)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = docs.where("doc_id is not null")
+    keep = simhash.simhash_components(named).where("doc_id = component_id").select("doc_id").distinct()
+    one = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.rewrite(docs)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.where(F.col("text").rlike(r"\S"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeats", repeats_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+# Suffix arrays, machines and token counts are beyond SQL; tests/llm/test_pipeline.py
+# compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents table."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_texts, texts, written
 
-BOUND = 3_000            # training rows for each language
-BITS = 13
+BOUND = 1_000            # training rows for each language
+BITS = 12
 UNDETERMINED = "und"
 
 # Families of language codes.
@@ -93,7 +93,7 @@ def svm(x: np.ndarray, positive: np.ndarray, l2: float = 1e-4, steps: int = 60)
     """Linear support vector machine (squared hinge loss), by Newton steps on
     the active rows with conjugate gradients inside. Both sides weigh alike."""
     y = np.where(positive, 1.0, -1.0)
-    z = np.hstack([x, np.ones((len(x), 1))])
+    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     cost = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum()))
     w = np.zeros(z.shape[1])
 
@@ -138,10 +138,20 @@ def train_rows(docs: DataFrame, train, bound: int) -> DataFrame:
 def fit(docs: DataFrame, train, bound: int = BOUND, bits: int = BITS) -> LanguageModel:
     """``docs``: (doc_id, text, lang); ``train``: a column over doc_id.
 
-    Every pair of classes is one task: its rows are vectors built in Spark, a
-    bounded number of them, and the fitted weights come back as one row."""
+    The sample's texts are turned into vectors of fixed size where they lie.
+    Every pair of classes is one task over a bounded number of such vectors,
+    and the fitted weights come back as one row."""
     import pandas as pd
-    sample = written(train_rows(docs, train, bound), "language-sample")
+    import pyarrow as pa
+
+    def vectors(batches):
+        for batch in batches:
+            x = [ngram_vector(t, bits).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"),
+                                              "x": pa.array(x, pa.binary())})
+
+    sample = written(train_rows(docs, train, bound).mapInArrow(vectors, "doc_id long, lang string, x binary"),
+                     "language-sample")
     langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
     model = LanguageModel()
     for lang in langs:
@@ -158,11 +168,9 @@ def fit(docs: DataFrame, train, bound: int = BOUND, bits: int = BITS) -> Languag
          for lang in members], "job int, lang string, positive boolean")
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        # a family's members share the bound between them
         pdf = pdf.sort_values("doc_id")
-        some = pdf.groupby("positive").head(2 * bound)
-        x = np.array([ngram_vector(t, bits) for t in some["text"]], np.float32)
-        w, b = svm(x, some["positive"].to_numpy(bool))
+        x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(-1, 1 << bits)
+        w, b = svm(x, pdf["positive"].to_numpy(bool))
         return pd.DataFrame({"job": [key[0]], "weights": [w.tolist()], "intercept": [b]})
 
     solved = (sample.join(F.broadcast(uses), "lang").groupBy("job")
@@ -225,6 +233,22 @@ def predict(docs: DataFrame, model: LanguageModel, bits: int = BITS, id_col: str
     return map_texts(texts(docs, id_col, text_col), batch, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: LanguageModel, min_score: float, bits: int = BITS,
+               text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, without the rows whose language is
+    undetermined or predicted with less than ``min_score``."""
+    import pyarrow as pa
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch in batches:
+            bodies = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            langs, scores = predict_batch(shared.value, bodies, bits)
+            yield batch.filter(pa.array([k != UNDETERMINED and s >= min_score for k, s in zip(langs, scores.tolist())],
+                                        pa.bool_()))
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def learn(docs: DataFrame, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang") -> LanguageModel:
     """Model from the rows whose id does not fall into the held-out quarter."""

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.sources.tables import read_table
 
-from . import language, quality_rules_model, simhash, token_count, toxicity
+from . import (cascade, decontaminate, language, packing, quality_rules_model, recompression, simhash,
+               suffix_dedup, token_count, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,12 +34,46 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+@register
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages found in the documents, with their edits."""
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                      read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@register
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of all documents after removal of repeated 50-word windows."""
+    return recompression.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of all documents after removal of repeated 200-byte strings."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
 @register
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents (3-word shingles, 3 bits)."""
     return simhash.simhash_components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@register
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences in optimal length buckets, batched."""
+    return packing.pack(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the rule cascade for all documents."""
+    return cascade.judge(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLES["op8_quality_rules"] = cascade.ORACLE
+
+
 @register
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents by byte_bpe_50k.json."""
