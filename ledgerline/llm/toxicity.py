@@ -50,13 +50,18 @@ _SIGNS = str.maketrans(SUBSTITUTES)
 # a word of letters and substitutes with a letter at both sides of each substitute run or at its start
 _MIXED = re.compile(r"[^\W_]*[^\W\d_][013457@$!]+(?=[^\W\d_])[\w@$!]*|(?<![\w@$!])[013457@$]+[^\W\d_][\w@$!]*")
 _GAPS = re.compile(r"[\W\d_]+")
+_ANY_GLYPH = re.compile("[" + "".join(HOMOGLYPHS) + "\uff41-\uff5a]")
+_ANY_SIGN = re.compile("[" + "".join(SUBSTITUTES) + "]")
 
 
 def fold(text: str | None) -> str:
     """Folded words, one space before, between and after them."""
-    low = (text or "").lower().translate(_GLYPHS)
-    if _MIXED.search(low):
-        low = _MIXED.sub(lambda m: m[0].translate(_SIGNS), low)
+    low = (text or "").lower()
+    if not low.isascii() and _ANY_GLYPH.search(low):
+        low = low.translate(_GLYPHS)
+    if _ANY_SIGN.search(low):          # a mixed word holds no white space: look at words with a sign only
+        low = " ".join(_MIXED.sub(lambda m: m[0].translate(_SIGNS), w) if _ANY_SIGN.search(w) else w
+                       for w in low.split())
     return " " + _GAPS.sub(" ", low).strip() + " "
 
 
