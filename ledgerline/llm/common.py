@@ -40,6 +40,13 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_texts(docs: DataFrame, per_batch: Callable[[list, list], dict], schema: str) -> DataFrame:
     """Run ``per_batch(ids, texts) -> {column: values}`` over Arrow batches of
     (doc_id, text). Spark cuts the batches by rows and bytes, so a task holds
@@ -48,12 +55,11 @@ def map_texts(docs: DataFrame, per_batch: Callable[[list, list], dict], schema:
     out_schema = pa.schema([(name, ARROW[kind.strip()]) for name, kind in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = per_batch(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[f.name], type=f.type, from_pandas=True) for f in out_schema],
-                    schema=out_schema)
+        for batch in pieces(batches):
+            out = per_batch(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[f.name], type=f.type, from_pandas=True) for f in out_schema],
+                schema=out_schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix64, texts
+from .common import map_texts, mix64, pieces, texts
 
 Q = 8
 EDITS = 0.1
@@ -191,7 +191,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 bodies = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield batch.filter(pa.array([not shared.value.matches(t) for t in bodies], pa.bool_()))
         docs = docs.mapInArrow(keep, docs.schema)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, texts, written
+from .common import held_out, map_texts, pieces, texts, written
 
 BOUND = 1_000            # training rows for each language
 BITS = 12
@@ -91,26 +91,31 @@ class LanguageModel:
 
 def svm(x: np.ndarray, positive: np.ndarray, l2: float = 1e-4, steps: int = 60) -> tuple[np.ndarray, float]:
     """Linear support vector machine (squared hinge loss), by Newton steps on
-    the active rows with conjugate gradients inside. Both sides weigh alike."""
+    the active rows with conjugate gradients inside. Both sides weigh alike.
+    ``x`` is never copied: products are taken in its own precision."""
     y = np.where(positive, 1.0, -1.0)
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     cost = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum()))
-    w = np.zeros(z.shape[1])
+    w = np.zeros(x.shape[1] + 1)
+
+    def margins(v):
+        return (x @ v[:-1].astype(x.dtype)).astype(float) + v[-1]
+
+    def back(r):
+        return np.append((r.astype(x.dtype) @ x).astype(float), r.sum())
 
     def loss(v):
-        return l2 * (v[:-1] @ v[:-1]) + cost @ np.maximum(0, 1 - y * (z @ v)) ** 2
+        return l2 * (v[:-1] @ v[:-1]) + cost @ np.maximum(0, 1 - y * margins(v)) ** 2
 
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (z @ w))
-        grad = 2 * l2 * np.append(w[:-1], 0) - 2 * z.T @ (cost * y * slack)
-        if np.linalg.norm(grad) < 1e-6:
+        slack = np.maximum(0, 1 - y * margins(w))
+        grad = 2 * l2 * np.append(w[:-1], 0) - 2 * back(cost * y * slack)
+        if np.linalg.norm(grad) < 1e-5:
             break
-        active = slack > 0
-        za, ca = z[active], cost[active]
+        active = np.where(slack > 0, cost, 0.0)
         move, r = np.zeros_like(w), -grad
         p, rr = r.copy(), r @ r
         for _ in range(30):
-            hp = 2 * l2 * np.append(p[:-1], 1e-6 * p[-1]) + 2 * za.T @ (ca * (za @ p))
+            hp = 2 * l2 * np.append(p[:-1], 1e-6 * p[-1]) + 2 * back(active * margins(p))
             a = rr / (p @ hp + 1e-18)
             move, r = move + a * p, r - a * hp
             new = r @ r
@@ -145,8 +150,8 @@ def fit(docs: DataFrame, train, bound: int = BOUND, bits: int = BITS) -> Languag
     import pyarrow as pa
 
     def vectors(batches):
-        for batch in batches:
-            x = [ngram_vector(t, bits).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
+        for batch in pieces(batches):
+            x = [ngram_vector(t, bits).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"),
                                               "x": pa.array(x, pa.binary())})
 
@@ -169,7 +174,9 @@ def fit(docs: DataFrame, train, bound: int = BOUND, bits: int = BITS) -> Languag
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
-        x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(-1, 1 << bits)
+        x = np.empty((len(pdf), 1 << bits), np.float32)
+        for i, row in enumerate(pdf["x"]):
+            x[i] = np.frombuffer(row, np.float16)
         w, b = svm(x, pdf["positive"].to_numpy(bool))
         return pd.DataFrame({"job": [key[0]], "weights": [w.tolist()], "intercept": [b]})
 
@@ -241,7 +248,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, min_score: float, bits: in
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             bodies = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             langs, scores = predict_batch(shared.value, bodies, bits)
             yield batch.filter(pa.array([k != UNDETERMINED and s >= min_score for k, s in zip(langs, scores.tolist())],

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import pieces, texts, written
 
 MAX_LEN = 2048
 BUCKETS = 12
@@ -50,7 +50,7 @@ def lengths(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens) of every text."""
     def run(batches):
         count = encoder(path).encode_ordinary
-        for batch in batches:
+        for batch in pieces(batches):
             n = [len(count(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64())})
     return docs.mapInArrow(run, "doc_id long, n_tokens long")

@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import pieces, texts, written
 
 CHUNK = 1 << 16          # characters
 OVERLAP = 256
@@ -128,7 +128,7 @@ def whole_counts(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     that have to be chunked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = PieceEncoder.of(path)
-        for batch in batches:
+        for batch in pieces(batches):
             bodies = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0),
@@ -157,7 +157,7 @@ def encode_chunks(chunks: DataFrame, path: str, chunk: int, overlap: int, margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = PieceEncoder.of(path)
-        for batch in batches:
+        for batch in pieces(batches):
             out = {c: [] for c in ("total", "left_at", "left_n", "right_at", "right_n")}
             for k, start, last, body in zip(*(batch.column(c).to_pylist() for c in ("k", "start", "last", "body"))):
                 at, n = enc.boundaries(body)
