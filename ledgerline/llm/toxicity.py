@@ -48,7 +48,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 _GLYPHS = str.maketrans(HOMOGLYPHS | {chr(0xFF41 + i): chr(97 + i) for i in range(26)})
 _SIGNS = str.maketrans(SUBSTITUTES)
 # a word of letters and substitutes with a letter at both sides of each substitute run or at its start
-_MIXED = re.compile(r"[^\W_]*[^\W\d_][013457@$!]+(?=[^\W\d_])[\w@$!]*|(?<![\w@$!])[013457@$]+[^\W\d_][\w@$!]*")
+_MIXED = re.compile(r"[^\W_]*[^\W\d_][013457@$!]+(?=[^\W\d_])(?:[\w@$!]*\w)?|(?<![\w@$!])[013457@$]+[^\W\d_](?:[\w@$!]*\w)?")
 _GAPS = re.compile(r"[\W\d_]+")
 _ANY_GLYPH = re.compile("[" + "".join(HOMOGLYPHS) + "\uff41-\uff5a]")
 _ANY_SIGN = re.compile("[" + "".join(SUBSTITUTES) + "]")
