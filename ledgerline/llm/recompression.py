@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as an
-from .common import mix64, texts, written
+from .common import mix64, pieces, texts, written
 
 WINDOW = 50
 CAP = 4
@@ -118,14 +118,17 @@ def text_anchors(names: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, .
         part = starts[at + margin:at + margin + some + width - 1]
         pos, first, count = an.choose(np.where(part == an.FAR, an.FAR, mix64(part)), width)
         prefix = an.Prefix(names[at:at + some + window - 1])
-        ctx = prefix.of(first, first + count - 1 + window) + np.uint64(1) * (pos - first).astype(np.uint64)
-        yield mix64(part[pos]), mix64(ctx), at + first, count
+        ctx = prefix.of(first, first + count - 1 + window) + (pos - first).astype(np.uint64)
+        # every window with this anchor holds the words around it: they are part of its name, so that
+        # a short symbol which unrelated texts share by chance does not bring them together
+        around = prefix.of(pos, pos + window - width + 1)
+        yield mix64(part[pos] + around), mix64(ctx), at + first, count
 
 
 def scan(docs: DataFrame, window: int) -> DataFrame:
     """Per document one row with n_words and digest, and its anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows, sizes, digests, found = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 words = split_words(text)
@@ -154,7 +157,7 @@ def window_prints(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
     per_doc = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "cnt")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for i, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())):
                 names = word_names(split_words(text))
                 at = np.concatenate([np.arange(s["lo"], s["lo"] + s["cnt"]) for s in spans])
@@ -177,7 +180,7 @@ def cut(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     per_doc = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             removed, kept = [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 words = split_words(text)
@@ -195,12 +198,13 @@ def repeated_ranges(docs: DataFrame, found: DataFrame, window: int) -> DataFrame
     """(id, th, lo, hi): word ranges covered by repeated windows."""
     found = found.withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
     rows = written(an.shared(found.select("id", "th", "name", "ctx", "lo", "cnt"), "id"), "shared-symbols")
-    first = rows.groupBy("name", "ctx").agg(F.min("id").alias("first_id"))
+    first = written(rows.groupBy("name", "ctx").agg(F.min("id").alias("first_id")), "first-contexts")
     rows = rows.join(first, ["name", "ctx"])
     whole = rows.where("first_id < id").select("id", "th", "lo", (F.col("lo") + F.col("cnt") - 1 + window).alias("hi"))
     ours = rows.where("first_id = id and contexts_differ").select("id", "th", "lo", "cnt")
     prints = written(window_prints(docs, ours, window), "window-prints")
-    least = prints.groupBy("print").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    least = written(prints.groupBy("print").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b"),
+                    "first-windows")
     single = prints.join(least, "print").where("a < id").select(
         "id", "th", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
     return whole.unionByName(single)
