@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, written
 
 BLOCK_BITS = 20                       # windows handled at once: bounds memory for huge texts
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
@@ -77,13 +77,14 @@ def shared(anchors: DataFrame, who: str | None = None) -> DataFrame:
     with ``contexts_differ``.
 
     Names are counted with partial aggregation, so a very frequent one costs a
-    row for each task; the join that follows can split such a name."""
+    row for each task. The few that matter are written, so that the join that
+    follows reads plain exchanges and Spark can split such a name."""
     names = (anchors.groupBy("name")
              .agg(*([F.min(who).alias("w0"), F.max(who).alias("w1")] if who else [F.count(F.lit(1)).alias("n")]),
                   F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
              .where("w0 <> w1" if who else "n > 1")
              .select("name", (F.col("c0") != F.col("c1")).alias("contexts_differ")))
-    return anchors.join(names, "name")
+    return anchors.join(written(names, "shared-names"), "name")
 
 
 def covered(ranges: list[tuple[int, int]], n: int) -> np.ndarray:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as an
-from .common import mix64, texts, written
+from .common import mix64, pieces, texts, written
 
 LENGTH = 200
 GRAM = 32
@@ -87,6 +87,60 @@ def induce(letters: list[int], smaller: list[bool], seeds: list[int], sizes: np.
     return order
 
 
+def induce_by_bucket(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same order as ``induce``, a bucket at a time in numpy; for texts
+    with few letters. A bucket feeds itself while it holds runs of its letter,
+    and each round of that is one step."""
+    kinds = len(sizes)
+    letters = t.astype(np.uint16)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    order = np.full(len(t), -1, np.int64)
+
+    def by_letter(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        c = letters[p]
+        turn = np.argsort(c, kind="stable")
+        c = c[turn]
+        count = np.bincount(c, minlength=kinds)
+        return p[turn], c, count, np.arange(len(c)) - (np.cumsum(count) - count)[c]
+
+    p, c, n_seeds, rank = by_letter(seeds)
+    order[(ends - n_seeds)[c] + rank] = p
+    head = starts.copy()
+
+    def larger(q: np.ndarray) -> None:
+        q = q[q >= 0]
+        q = q[~smaller[q]]
+        if len(q):
+            q, c, count, rank = by_letter(q)
+            order[head[c] + rank] = q
+            head[:] += count
+
+    for b in np.flatnonzero(sizes).tolist():
+        at = starts[b]
+        while at < head[b]:
+            at, now = head[b], order[at:head[b]] - 1
+            larger(now)
+        larger(order[ends[b] - n_seeds[b]:ends[b]] - 1)
+    tail = ends.copy()
+
+    def less(q: np.ndarray) -> None:
+        q = q[q >= 0]
+        q = q[smaller[q]]
+        if len(q):
+            q, c, count, rank = by_letter(q)
+            order[tail[c] - 1 - rank] = q
+            tail[:] -= count
+
+    for b in np.flatnonzero(sizes)[::-1].tolist():
+        at = ends[b]
+        while at > tail[b]:
+            at, now = tail[b], order[tail[b]:at][::-1] - 1
+            less(now)
+        less(order[starts[b]:head[b]][::-1] - 1)
+    return order
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Suffix array of small non-negative numbers; the last one must be the
     only smallest."""
@@ -96,8 +150,15 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     small = smaller_than_next(t)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1      # leftmost-smaller positions
     sizes = np.bincount(t)
-    letters, flags = t.tolist(), small.tolist()
-    rough = np.array(induce(letters, flags, left.tolist(), sizes))
+    if len(sizes) * 150 < n and len(sizes) < 1 << 16:
+        def induced(seeds):
+            return induce_by_bucket(t, small, seeds, sizes)
+    else:
+        letters, flags = t.tolist(), small.tolist()
+
+        def induced(seeds):
+            return np.array(induce(letters, flags, seeds.tolist(), sizes))
+    rough = induced(left)
     is_left = np.zeros(n, bool)
     is_left[left] = True
     ordered = rough[is_left[rough]]
@@ -121,7 +182,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         name_at = np.zeros(n, np.int64)
         name_at[ordered] = names
         ordered = left[suffix_array(name_at[left])]
-    return np.array(induce(letters, flags, ordered.tolist(), sizes))
+    return induced(ordered)
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +256,7 @@ def text_anchors(raw: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarra
 def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Per document one row with n_bytes and digest, and its anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, digests, found = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 raw = (text or "").encode("utf-8")
@@ -224,7 +285,7 @@ def context_bodies(docs: DataFrame, places: DataFrame, length: int) -> DataFrame
         F.collect_list(F.struct("lo", "cnt", "shard", "split", "alone")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for i, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())):
                 raw = text.encode("utf-8")
                 n = len(spans)
@@ -307,7 +368,7 @@ def repeated_ranges(docs: DataFrame, found: DataFrame, length: int, shard_bytes:
 def split_prints(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """(id, th, lo, hi, print) of all strings in the contexts of split anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for i, t, lo, body in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "lo", "body"))):
                 raw = np.frombuffer(body, np.uint8).astype(np.uint64) + np.uint64(1)
                 prints = an.Prefix(raw).fixed(length)
@@ -325,7 +386,7 @@ def cut(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     per_doc = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             removed, runs, kept = [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 raw = np.frombuffer(text.encode("utf-8"), np.uint8)
@@ -369,7 +430,7 @@ def rewrite(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes
     ranges = repeated_ranges(body, found, length, shard_bytes, hot)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_pydict({
                 "_cut_id": batch.column("id"), "_cut_th": batch.column("th"),
                 "_cut_text": pa.array([b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()], pa.string())})

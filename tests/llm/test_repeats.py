@@ -97,10 +97,16 @@ def test_empty_tables(spark):
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(4)
     for letters in (1, 2, 4, 26):
-        for n in (1, 2, 5, 60, 300):
+        for n in (1, 2, 5, 60, 300, 900):
             t = np.array([rng.randrange(letters) + 1 for _ in range(n)] + [0])
             want = sorted(range(n + 1), key=lambda i: t[i:].tolist())
             assert suffix_dedup.suffix_array(t).tolist() == want
+            if n > 2:        # both ways of inducing give one order
+                small = suffix_dedup.smaller_than_next(t)
+                left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+                sizes = np.bincount(t)
+                assert suffix_dedup.induce_by_bucket(t, small, left, sizes).tolist() == suffix_dedup.induce(
+                    t.tolist(), small.tolist(), left.tolist(), sizes)
             room = n - np.arange(n + 1)
             before, plcp = suffix_dedup.common_prefixes(t, np.array(want), room)
             for i in range(n + 1):
