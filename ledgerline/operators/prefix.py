@@ -3,64 +3,43 @@ group and key?") for groups that are few and large.
 
 A window ``partitionBy(group).orderBy(ts)`` would put a whole group into one
 task; with six review flags that is six tasks however big the cluster is.
-Here the rows are range-partitioned on (group, order), so a hot group is cut
-into many ordered slices; each task counts within its slice (pandas
-``cumcount`` over Arrow batches) and adds the totals of all earlier slices,
-which form a table of (#partitions x #group/key pairs) rows.
+Here time is cut into buckets. A partial aggregate counts rows by (group, key,
+bucket); a window over those few rows gives the totals of all earlier buckets;
+inside a bucket a window over (group, bucket) counts the rest. Every step
+depends on column values only, so re-running a task changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 
-def _local_counts(group_col: str, key_col: str):
-    def run(batches):
-        seen_g: dict = {}
-        seen_k: dict = {}
-        for pdf in batches:
-            g = pdf[group_col]
-            k = pdf[key_col]
-            lg = pdf.groupby(group_col, sort=False).cumcount() + g.map(seen_g).fillna(0).astype("int64")
-            lk = pdf.groupby(key_col, sort=False).cumcount() + k.map(seen_k).fillna(0).astype("int64")
-            for val, cnt in g.value_counts().items():
-                seen_g[val] = seen_g.get(val, 0) + int(cnt)
-            for val, cnt in k.value_counts().items():
-                seen_k[val] = seen_k.get(val, 0) + int(cnt)
-            yield pdf.assign(_lg=lg.astype("int64"), _lk=lk.astype("int64"))
-    return run
-
-
 def prior_counts(df: DataFrame, group: str, key: str, order: list[str],
-                 partitions: int | None = None) -> DataFrame:
+                 bucket: Column | None = None) -> DataFrame:
     """Adds ``prior_n`` (earlier rows with the same ``group``) and ``prior_same``
     (earlier rows with the same ``group`` and ``key``); ``order`` must be a
-    total order (end it with a unique id)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = df.withColumns({"_g": F.coalesce(F.col(group).cast("string"), F.lit("")),
-                          "_k": F.concat_ws("\u001f", F.coalesce(F.col(group).cast("string"), F.lit("")),
-                                            F.coalesce(F.col(key).cast("string"), F.lit("")))})
-    ranged = (src.repartitionByRange(n, "_g", *order)
-              .sortWithinPartitions("_g", *order)
-              .withColumn("_pid", F.spark_partition_id()))
-    schema = StructType(ranged.schema.fields + [StructField("_lg", LongType(), False),
-                                                StructField("_lk", LongType(), False)])
-    local = ranged.mapInPandas(_local_counts("_g", "_k"), schema)
-    totals = local.groupBy("_pid", "_g", "_k").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off_k = totals.select("_pid", "_k", F.coalesce(
-        F.sum("_c").over(before.partitionBy("_k")), F.lit(0)).alias("_ok"))
-    by_g = totals.groupBy("_pid", "_g").agg(F.sum("_c").alias("_c"))
-    off_g = by_g.select("_pid", "_g", F.coalesce(
+    total order (end it with a unique id). ``bucket`` must not fall along
+    ``order``; by default it is the day of the first order column. Rows without
+    a value there come first, in a bucket of their own."""
+    day = F.to_date(order[0]) if bucket is None else bucket
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    src = df.withColumns({"_g": text(group), "_k": text(key),
+                          "_b": F.coalesce(day.cast("string"), F.lit(""))})
+    totals = src.groupBy("_g", "_k", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off_k = totals.select("_g", "_k", "_b", F.coalesce(
+        F.sum("_c").over(before.partitionBy("_g", "_k")), F.lit(0)).alias("_ok"))
+    off_g = totals.groupBy("_g", "_b").agg(F.sum("_c").alias("_c")).select("_g", "_b", F.coalesce(
         F.sum("_c").over(before.partitionBy("_g")), F.lit(0)).alias("_og"))
-    out = local.join(off_k, ["_pid", "_k"], "left").join(off_g, ["_pid", "_g"], "left")
-    return (out.withColumns({"prior_n": (F.col("_lg") + F.coalesce("_og", F.lit(0))).cast("bigint"),
-                             "prior_same": (F.col("_lk") + F.coalesce("_ok", F.lit(0))).cast("bigint")})
-            .drop("_g", "_k", "_pid", "_lg", "_lk", "_og", "_ok"))
+    here = Window.orderBy(*order)
+    local = src.withColumns({"_lg": F.row_number().over(here.partitionBy("_g", "_b")) - 1,
+                             "_lk": F.row_number().over(here.partitionBy("_g", "_b", "_k")) - 1})
+    out = local.join(off_k, ["_g", "_k", "_b"]).join(off_g, ["_g", "_b"])
+    return (out.withColumns({"prior_n": (F.col("_lg") + F.col("_og")).cast("bigint"),
+                             "prior_same": (F.col("_lk") + F.col("_ok")).cast("bigint")})
+            .drop("_g", "_k", "_b", "_lg", "_lk", "_og", "_ok"))
 
 
 def ratio_half_even(num, den, places: int):

@@ -74,22 +74,26 @@ def json_roundtrip(items: DataFrame) -> DataFrame:
 
 
 def page(df: DataFrame, status: str | None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Optional status filter, newest first (id tiebreak), offset/limit."""
-    limit = max(1, min(500, limit))
+    """Optional status filter, newest first (id tiebreak), offset/limit.
+    A limit outside 1-500 or a negative offset is refused."""
+    if not 1 <= limit <= 500 or offset < 0:
+        raise ValueError(f"limit must be 1-500 and offset not negative: {limit}, {offset}")
     src = df.where(F.col("status") == status) if status else df
     return src.orderBy(F.col("created_at").desc(), F.col("invoice_id")).offset(offset).limit(limit)
 
 
-def exceptions(df: DataFrame, cap: int = 500) -> DataFrame:
-    """Flagged, on_hold, rejected; newest first, at most ``cap`` per status
+def exceptions(df: DataFrame, cap: int | None = None) -> DataFrame:
+    """Every flagged, on_hold or rejected invoice, with its status group
+    (the order of the report). With ``cap`` only the newest of each status
     (row_number <= cap is planned as a per-partition group limit before the
     shuffle, so a status with many rows ships only ``cap`` per task)."""
     order = {"flagged": 0, "on_hold": 1, "rejected": 2}
-    w = Window.partitionBy("status").orderBy(F.col("created_at").desc(), F.col("invoice_id"))
-    ranked = (df.where(F.col("status").isin(*order)).withColumn("rank", F.row_number().over(w))
-              .where(F.col("rank") <= cap))
+    held = df.where(F.col("status").isin(*order))
+    if cap is not None:
+        w = Window.partitionBy("status").orderBy(F.col("created_at").desc(), F.col("invoice_id"))
+        held = held.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
     grp = F.when(F.col("status") == "flagged", 0).when(F.col("status") == "on_hold", 1).otherwise(2)
-    return ranked.withColumn("status_group", grp)
+    return held.withColumn("status_group", grp)
 
 
 def invoice_violations(inv: DataFrame) -> DataFrame:

@@ -50,13 +50,9 @@ def chunk_documents(docs: DataFrame, text_col: str = "markdown", source_col: str
                                                           F.substring("text", 1, 50))))
 
 
-def index_chunks(existing: DataFrame, chunks: DataFrame, force: bool = False) -> DataFrame:
-    """Upsert new chunk ids; skipped when the index already holds at
-    least as many rows as there are chunks (unless ``force``)."""
-    if not force:
-        have = existing.count()
-        if have >= chunks.count():
-            return existing.withColumn("inserted", F.lit(False))
+def index_chunks(existing: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Add the chunks whose id the index does not hold, whatever else
+    (stale ids included) it holds."""
     new = chunks.join(existing.select("chunk_id"), "chunk_id", "left_anti")
     return (existing.withColumn("inserted", F.lit(False))
             .unionByName(new.withColumn("inserted", F.lit(True)), allowMissingColumns=True))

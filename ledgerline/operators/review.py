@@ -29,11 +29,11 @@ def review_problem(reviews: DataFrame, invoices: DataFrame) -> DataFrame:
                         ).drop("_iid", "_known")
 
 
-def saved_reviews(reviews: DataFrame) -> DataFrame:
-    """Reviews that pass H6 (invoice resolved, decision and rationale valid)."""
-    return reviews.where(~F.col("invoice_id").startswith("ORPHAN-")
-                         & F.col("decision").isin(*REVIEW_DECISIONS)
-                         & F.col("rationale_category").isin(*RATIONALE_CATEGORIES))
+def saved_reviews(reviews: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Reviews that pass H6: the invoice is stored, decision and rationale are valid."""
+    valid = reviews.where(F.col("decision").isin(*REVIEW_DECISIONS)
+                          & F.col("rationale_category").isin(*RATIONALE_CATEGORIES))
+    return valid.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
 
 
 def consistency_scores(saved: DataFrame) -> DataFrame:
@@ -116,6 +116,22 @@ def reviewer_consistency(scores: DataFrame) -> DataFrame:
         .drop("_k", "_nk", "_cents"))
 
 
+def overview(saved: DataFrame, scores: DataFrame, newest_reviews: int | None = None) -> DataFrame:
+    """Decision patterns by flag and consistency by reviewer, one row each
+    (``part`` tells which), each with its total. ``newest_reviews`` limits the
+    reviewers to those of the newest so many decisions."""
+    counts = ["approve_count", "reject_count", "adjust_count", "escalate_count", "avg_resolution_hours"]
+    flags = decision_patterns(saved).select(
+        F.lit("flag").alias("part"), F.col("flag_type").alias("name"), F.col("total_decisions").alias("total"),
+        *counts, F.lit(None).cast("double").alias("avg_consistency"))
+    people = reviewer_consistency(scores)
+    if newest_reviews is not None:
+        people = people.join(newest(saved, newest_reviews).select("reviewer_id").distinct(), "reviewer_id", "left_semi")
+    return flags.unionByName(people.select(
+        F.lit("reviewer").alias("part"), F.col("reviewer_id").alias("name"), F.col("total_reviews").alias("total"),
+        *counts, "avg_consistency"))
+
+
 def newest(saved: DataFrame, n: int) -> DataFrame:
     """Newest ``n`` decisions (a top-k: TakeOrderedAndProject)."""
     return saved.orderBy(F.col("timestamp").desc(), F.col("seq").desc()).limit(n)

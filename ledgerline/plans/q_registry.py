@@ -144,12 +144,11 @@ def invoice_page(spark, sf):
     return G.page(stored(spark, sf), "on_hold", 50, 50).select("invoice_id", "created_at", "status")
 
 
-@query("exceptions", f"""{STORED} SELECT * FROM (SELECT invoice_id, status,
-  row_number() OVER (PARTITION BY status ORDER BY created_at DESC, invoice_id) AS rank
-  FROM stored WHERE status IN ('flagged','on_hold','rejected')) WHERE rank <= 500""")
+@query("exceptions", f"""{STORED} SELECT invoice_id, status, created_at,
+  CASE status WHEN 'flagged' THEN 0 WHEN 'on_hold' THEN 1 ELSE 2 END AS status_group
+FROM stored WHERE status IN ('flagged','on_hold','rejected')""")
 def exceptions(spark, sf):
-    return G.exceptions(stored(spark, sf), 500).select("invoice_id", "status",
-                                                       F.col("rank").cast("bigint").alias("rank"))
+    return G.exceptions(stored(spark, sf)).select("invoice_id", "status", "created_at", "status_group")
 
 
 @query("constraint_violations", f"""{BASE} SELECT invoice_id, 'currency' AS violations FROM inv

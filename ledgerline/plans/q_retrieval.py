@@ -38,7 +38,7 @@ def chunks_to_index(spark, sf):
     c = chunks(spark, sf)
     labelled = read_table(spark, sf, "labels", "doc_id")
     existing = c.join(labelled, "doc_id", "left_semi")
-    return J.index_chunks(existing, c, force=False).select("chunk_id", "doc_id", "inserted")
+    return J.index_chunks(existing, c).select("chunk_id", "doc_id", "inserted")
 
 
 @query("keyword_topk")

@@ -49,7 +49,8 @@ def reviews(spark, sf):
 
 
 def saved(spark, sf):
-    return R.saved_reviews(reviews(spark, sf))
+    inv = domain.invoices(spark, sf).where(F.upper("currency").isin(*CURRENCIES))
+    return R.saved_reviews(reviews(spark, sf), inv)
 
 
 def scores(spark, sf):
@@ -160,12 +161,14 @@ def review_history(spark, sf):
     return R.newest(saved(spark, sf), 50).select("decision_id", "invoice_id", "reviewer_id", "decision", "timestamp")
 
 
-@query("consistency_overview", f"""{HD} {REVIEWERS_SQL}
-WHERE reviewer_id IN (SELECT reviewer_id FROM (SELECT reviewer_id FROM saved ORDER BY timestamp DESC, seq DESC LIMIT 100))
-GROUP BY reviewer_id""")
+@query("consistency_overview", f"""{HD}
+SELECT 'flag' AS part, original_flag AS name, count(*) AS total, {COUNTS_SQL},
+  {_hours_sql('count(*)')} AS avg_resolution_hours, CAST(NULL AS DOUBLE) AS avg_consistency
+FROM saved GROUP BY original_flag
+UNION ALL BY NAME SELECT 'reviewer' AS part, * RENAME (reviewer_id AS name, total_reviews AS total)
+FROM ({REVIEWERS_SQL} GROUP BY reviewer_id)""")
 def consistency_overview(spark, sf):
-    recent = R.newest(saved(spark, sf), 100).select("reviewer_id").distinct()
-    return R.reviewer_consistency(scores(spark, sf)).join(recent, "reviewer_id", "left_semi")
+    return R.overview(saved(spark, sf), scores(spark, sf))
 
 
 @query("approval_requests", f"""{HD} SELECT h.decision_id AS request_id, h.invoice_id, h.decision AS action,

@@ -1,13 +1,14 @@
 """Structured Streaming (K1, K2): invoices arrive as a file stream and are
 scored as they come, against static registries (stream-static joins) and a
-keyed 90-day duplicate state.
-
-K2 keeps O(1) state per (invoice_number, lower(vendor)): the newest row seen.
-Rows of a micro-batch are ordered by (created_at, invoice_id) inside each key,
-so a row is a duplicate when the newest earlier row is at most N days older.
-No pairs are emitted (a stream-stream self-join would emit every pair of a
-key within N days). State expires by event-time timeout N days after its
-newest row; rows later than the watermark are dropped (Spark semantics).
+growing history of invoices.
+
+K2 keeps the invoices seen in a history table. Each micro-batch is appended to
+it, and the batch operator (E1) is applied to the keys the batch touched, within
+the look-back window around its rows; the new flags replace the old ones of
+those invoices. So the flags after a micro-batch are those of all rows seen so
+far, whatever the order in which files arrive, and nothing is dropped as late.
+Both tables are written by batch number: a batch that is run again after a
+failure replaces its own rows.
 """
 
 from __future__ import annotations
@@ -15,19 +16,18 @@ from __future__ import annotations
 import os
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.cols import missing
+from ..operators.enrich import duplicate_history
 from ..policy import DEFAULT_POLICY, Policy
 from ..session import ensure_checkpoint_dir
 from ..sources import domain
 
-DUP_OUT = ("invoice_id string, is_duplicate boolean, duplicate_of string, "
-           "duplicate_of_created_at timestamp")
-DUP_STATE = "last_ts timestamp, last_id string"
+HISTORY = "invoice_id string, invoice_number string, vendor_name string, created_at timestamp_ntz, batch bigint"
+FLAGS = ("invoice_id string, is_duplicate boolean, duplicate_of string, duplicate_of_created_at timestamp_ntz, "
+         "batch bigint")
 
 
 def lineitem_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -38,50 +38,46 @@ def lineitem_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1
             .parquet(path[:-1] + "[" + path[-1] + "]"))
 
 
-def _dup_state_fn(days: int):
-    window = pd.Timedelta(days=days)
-
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "invoice_id"], kind="mergesort")
-        last_ts, last_id = (state.get if state.exists else (None, None))
-        flags, wit, wts = [], [], []
-        for ts, iid in zip(pdf["ts"], pdf["invoice_id"]):
-            dup = last_ts is not None and last_ts >= ts - window
-            flags.append(dup)
-            wit.append(last_id if dup else None)
-            wts.append(last_ts if dup else None)
-            last_ts, last_id = ts, iid
-        state.update((last_ts, last_id))
-        # naive timestamps are UTC (session time zone); expire N days after the newest row
-        state.setTimeoutTimestamp(int(pd.Timestamp(last_ts + window).value // 1_000_000) + 1)
-        yield pd.DataFrame({"invoice_id": pdf["invoice_id"].values, "is_duplicate": flags,
-                            "duplicate_of": wit, "duplicate_of_created_at": wts})
+def stream_folder(spark: SparkSession, name: str) -> str:
+    """Tables and checkpoint of a stream, in the session's shared folder. The
+    same name continues the same stream."""
+    return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+
+
+def duplicates_step(base: str, policy: Policy = DEFAULT_POLICY):
+    """What K2 does with a micro-batch of invoices."""
+    days = int(policy.duplicate_days) + 1
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        (batch.where(~missing(F.col("invoice_number")) & ~missing(F.col("vendor_name")))
+         .select("invoice_id", "invoice_number", "vendor_name", "created_at")
+         .write.mode("overwrite").parquet(f"{base}/rows/batch={number}"))
+        seen = spark.read.schema(HISTORY).parquet(f"{base}/rows").where(F.col("batch") <= number)
+        key = [F.col("invoice_number").alias("_n"), F.lower("vendor_name").alias("_v")]
+        around = (seen.where(F.col("batch") == number).groupBy(*key)
+                  .agg(F.min("created_at").alias("_lo"), F.max("created_at").alias("_hi")))
+        near = (seen.select("*", *key).join(around, ["_n", "_v"])
+                .where(F.expr(f"created_at BETWEEN _lo - INTERVAL {days} DAYS AND _hi + INTERVAL {days} DAYS")))
+        flags = duplicate_history(near, policy).where("created_at >= _lo")
+        (flags.select("invoice_id", "is_duplicate", "duplicate_of", "duplicate_of_created_at")
+         .write.mode("overwrite").parquet(f"{base}/flags/batch={number}"))
     return step
 
 
-def duplicate_stream(inv_stream: DataFrame, policy: Policy = DEFAULT_POLICY,
-                     watermark: str = "3650 days") -> DataFrame:
-    """K2 core: (invoice_id, is_duplicate, duplicate_of, ...) per keyed row.
-    ``withWatermark`` needs TIMESTAMP, so created_at (NTZ) is read in UTC."""
-    keyed = (inv_stream.where(~missing(F.col("invoice_number")) & ~missing(F.col("vendor_name")))
-             .select("invoice_id", F.col("invoice_number").alias("k1"), F.lower("vendor_name").alias("k2"),
-                     F.col("created_at").cast("timestamp").alias("ts"))
-             .withWatermark("ts", watermark))
-    return keyed.groupBy("k1", "k2").applyInPandasWithState(
-        _dup_state_fn(policy.duplicate_days), DUP_OUT, DUP_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+def latest_flags(spark: SparkSession, base: str) -> DataFrame:
+    """The flags of each invoice after the newest batch that touched it."""
+    flags = spark.read.schema(FLAGS).parquet(f"{base}/flags")
+    cols = ["is_duplicate", "duplicate_of", "duplicate_of_created_at"]
+    return (flags.groupBy("invoice_id").agg(F.max(F.struct("batch", *cols)).alias("f"))
+            .select("invoice_id", *[F.col(f"f.{c}").alias(c) for c in cols]))
 
 
 def run_to_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Drive a streaming plan over everything available (availableNow) into a
-    parquet table; table and checkpoint live under the session's shared
-    checkpoint folder, so nothing is held on the driver and a restarted query
-    resumes from its checkpoint."""
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", table)
+    parquet table beside its checkpoint, so nothing is held on the driver and a
+    call with the same name resumes."""
+    base = stream_folder(spark, name)
     q = (df.writeStream.format("parquet").outputMode("append")
          .option("path", os.path.join(base, "data"))
          .option("checkpointLocation", os.path.join(base, "checkpoint"))
@@ -90,23 +86,30 @@ def run_to_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(os.path.join(base, "data"))
 
 
-def stream_duplicates(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """K2: continuous 90-day duplicate detection."""
+def stream_duplicates(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY,
+                      name: str | None = None) -> DataFrame:
+    """K2: continuous 90-day duplicate detection. With a ``name`` a later call
+    goes on where the last one ended."""
+    base = stream_folder(spark, name or f"dups_{uuid.uuid4().hex[:8]}")
     inv = domain.invoices(spark, sf_dir, lineitem=lineitem_stream(spark, sf_dir))
-    return run_to_table(spark, duplicate_stream(inv, policy), "dups")
+    q = (inv.select("invoice_id", "invoice_number", "vendor_name", "created_at").writeStream
+         .foreachBatch(duplicates_step(base, policy))
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return latest_flags(spark, base)
 
 
-def stream_gates(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def stream_gates(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY,
+                 name: str | None = None) -> DataFrame:
     """K1: every arriving invoice is looked up (stream-static joins to the
     vendor and PO registries), validated, analysed and gated. The duplicate
-    gate reads K2's output, joined back as a static table after the stream."""
+    gate reads K2's flags after all available rows."""
     from ..plans.scoring import score
-    dups = stream_duplicates(spark, sf_dir, policy).select(
-        "invoice_id", "is_duplicate", "duplicate_of",
-        F.col("duplicate_of_created_at").cast("timestamp_ntz").alias("duplicate_of_created_at"))
+    name = name or f"gates_{uuid.uuid4().hex[:8]}"
+    dups = stream_duplicates(spark, sf_dir, policy, f"{name}_dups")
     inv = domain.invoices(spark, sf_dir, lineitem=lineitem_stream(spark, sf_dir))
     scored = score(inv, domain.vendors(spark, sf_dir), domain.purchase_orders(spark, sf_dir), policy,
                    duplicates=dups)
     out = scored.select("invoice_id", "status", "escalation_level", "n_decisions", "validation_status",
                         "risk_score")
-    return run_to_table(spark, out, "gates")
+    return run_to_table(spark, out, name)
