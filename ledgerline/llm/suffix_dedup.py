@@ -58,33 +58,42 @@ def smaller_than_next(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def induce(letters: list[int], smaller: list[bool], seeds: list[int], sizes: np.ndarray) -> list[int]:
+def induce(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Order of all suffixes, given leftmost-smaller ones in their order (or
     any order of them by first letter): larger suffixes from left to right,
-    then smaller ones from right to left."""
-    n = len(letters)
+    then smaller ones from right to left.
+
+    Each pass walks the order while it fills it. What a position feeds is
+    looked up in one list: the letter in front of it, or -1 where that one is
+    of the other class (also at the start and, as index -1, in empty places)."""
+    n = len(t)
     ends = np.cumsum(sizes)
-    order = [-1] * n
-    tail = ends.tolist()
-    for p in reversed(seeds):
-        c = letters[p]
-        tail[c] -= 1
-        order[tail[c]] = p
+    placed = np.full(n, -1, np.int64)
+    first = t[seeds]
+    turn = np.argsort(first, kind="stable")
+    count = np.bincount(first, minlength=len(sizes))
+    c = first[turn]
+    placed[(ends - count)[c] + np.arange(len(c)) - (np.cumsum(count) - count)[c]] = seeds[turn]
+    order = placed.tolist()
+    feeds = np.full(n + 1, -1, np.int64)
+    feeds[1:n] = np.where(smaller[:-1], -1, t[:-1])
+    into = feeds.tolist()
     head = (ends - sizes).tolist()
-    for i in range(n):
-        p = order[i] - 1
-        if p >= 0 and not smaller[p]:
-            c = letters[p]
-            order[head[c]] = p
-            head[c] += 1
+    for p in order:
+        c = into[p]
+        if c >= 0:
+            at = head[c]
+            order[at] = p - 1
+            head[c] = at + 1
+    feeds[1:n] = np.where(smaller[:-1], t[:-1], -1)
+    into = feeds.tolist()
     tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        p = order[i] - 1
-        if p >= 0 and smaller[p]:
-            c = letters[p]
-            tail[c] -= 1
-            order[tail[c]] = p
-    return order
+    for p in reversed(order):
+        c = into[p]
+        if c >= 0:
+            tail[c] = at = tail[c] - 1
+            order[at] = p - 1
+    return np.array(order)
 
 
 def induce_by_bucket(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -150,15 +159,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     small = smaller_than_next(t)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1      # leftmost-smaller positions
     sizes = np.bincount(t)
-    if len(sizes) * 150 < n and len(sizes) < 1 << 16:
-        def induced(seeds):
-            return induce_by_bucket(t, small, seeds, sizes)
-    else:
-        letters, flags = t.tolist(), small.tolist()
-
-        def induced(seeds):
-            return np.array(induce(letters, flags, seeds.tolist(), sizes))
-    rough = induced(left)
+    by = induce_by_bucket if len(sizes) * 150 < n and len(sizes) < 1 << 16 else induce
+    rough = by(t, small, left, sizes)
     is_left = np.zeros(n, bool)
     is_left[left] = True
     ordered = rough[is_left[rough]]
@@ -182,7 +184,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         name_at = np.zeros(n, np.int64)
         name_at[ordered] = names
         ordered = left[suffix_array(name_at[left])]
-    return induced(ordered)
+    return by(t, small, ordered, sizes)
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -106,7 +106,7 @@ def test_suffix_array_and_common_prefixes():
                 left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
                 sizes = np.bincount(t)
                 assert suffix_dedup.induce_by_bucket(t, small, left, sizes).tolist() == suffix_dedup.induce(
-                    t.tolist(), small.tolist(), left.tolist(), sizes)
+                    t, small, left, sizes).tolist()
             room = n - np.arange(n + 1)
             before, plcp = suffix_dedup.common_prefixes(t, np.array(want), room)
             for i in range(n + 1):
