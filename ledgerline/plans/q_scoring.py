@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import report
+from ..operators.anomaly import (detect_amount_outlier, detect_date_anomaly, detect_missing_fields,
+                                 detect_round_number, detect_unknown_vendor, missing_field_list)
+from ..operators.enrich import duplicate_history, match_pos, match_vendors
 from ..operators.governance import decision_audit_rows, decision_rows
-from ..policy import CURRENCIES
+from ..operators.validate import check_arithmetic, check_currency, check_date, check_po, check_vendor
+from ..policy import CURRENCIES, DEFAULT_POLICY
+from ..sources import domain
 from .catalog import query
 from .oracle_base import SCORED
-from .scoring import scored_from_tables
+from .scoring import normalise_currency, scored_from_tables
 
 ALLOWED = "('USD','CAD','EUR','GBP','AUD','JPY','CHF')"
 
@@ -29,12 +34,25 @@ def errors(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).where(~F.col("currency").isin(*CURRENCIES))
 
 
-def _check(idx: int):
+def invoices(spark: SparkSession, sf: str) -> DataFrame:
+    """Invoices without lookups: enough for checks on their own fields."""
+    return normalise_currency(domain.invoices(spark, sf))
+
+
+def with_vendors(spark: SparkSession, sf: str) -> DataFrame:
+    return match_vendors(invoices(spark, sf), domain.vendors(spark, sf))
+
+
+def with_pos(spark: SparkSession, sf: str) -> DataFrame:
+    return match_pos(invoices(spark, sf), domain.purchase_orders(spark, sf))
+
+
+def _check(frame, check):
+    """One field check on the frame that holds just its lookups."""
     def run(spark, sf):
-        s = scored(spark, sf)
-        r = F.col("field_results")[idx]
-        return s.select("invoice_id", r["field_name"].alias("field_name"), r["status"].alias("status"),
-                        r["confidence"].cast("double").alias("confidence"))
+        s = frame(spark, sf).select("invoice_id", check().alias("r"))
+        return s.select("invoice_id", F.col("r.field_name").alias("field_name"), F.col("r.status").alias("status"),
+                        F.col("r.confidence").cast("double").alias("confidence"))
     return run
 
 
@@ -43,12 +61,12 @@ def _check_sql(name: str, field: str) -> str:
       CAST({name}_conf AS DOUBLE) AS confidence FROM scored"""
 
 
-for _i, (_key, _n, _f) in enumerate([("validate_vendor", "vendor", "vendor_name"),
-                                     ("validate_po", "po", "po_number"),
-                                     ("validate_date", "date", "invoice_date"),
-                                     ("validate_arithmetic", "arith", "total"),
-                                     ("validate_currency", "currency", "currency")]):
-    query(_key, _check_sql(_n, _f))(_check(_i))
+for _key, _n, _f, _frame, _fn in [("validate_vendor", "vendor", "vendor_name", with_vendors, check_vendor),
+                                  ("validate_po", "po", "po_number", with_pos, check_po),
+                                  ("validate_date", "date", "invoice_date", invoices, check_date),
+                                  ("validate_arithmetic", "arith", "total", invoices, check_arithmetic),
+                                  ("validate_currency", "currency", "currency", invoices, check_currency)]:
+    query(_key, _check_sql(_n, _f))(_check(_frame, _fn))
 
 
 @query("validation_field_results", f"""{SCORED}
@@ -94,31 +112,28 @@ def validation_summary(spark, sf):
 @query("duplicates_90d", f"""{SCORED} SELECT invoice_id, invoice_number, lower(vendor_name) AS vendor_key,
   duplicate_of FROM scored WHERE is_duplicate""")
 def duplicates_90d(spark, sf):
-    return (scored(spark, sf).where("is_duplicate")
+    return (duplicate_history(invoices(spark, sf)).where("is_duplicate")
             .select("invoice_id", "invoice_number", F.lower("vendor_name").alias("vendor_key"), "duplicate_of"))
 
 
-def _anomaly_rows(spark, sf, kind: str | None = None):
-    s = scored(spark, sf).select("invoice_id", F.explode("anomalies").alias("a"))
-    if kind is not None:
-        s = s.where(F.col("a.anomaly_type").isin(*kind.split("|")))
-    return s
+def _flagged(frame: DataFrame, flag) -> DataFrame:
+    """The invoices with the flag ``a``, on the frame that holds just its lookups."""
+    return frame.withColumn("a", flag).where(F.col("a").isNotNull())
 
 
 @query("amount_outliers", f"""{SCORED} SELECT invoice_id, sev_outlier AS severity,
   CASE WHEN total > po_amount THEN 'exceeds' ELSE 'is below' END AS direction
   FROM scored WHERE sev_outlier IS NOT NULL""")
 def amount_outliers(spark, sf):
-    s = _anomaly_rows(spark, sf, "amount_outlier")
+    s = _flagged(with_pos(spark, sf), detect_amount_outlier())
     return s.select("invoice_id", F.col("a.severity").alias("severity"),
-                    F.when(F.get_json_object("a.evidence", "$.variance_pct").cast("double") > 0, "exceeds")
-                    .otherwise("is below").alias("direction"))
+                    F.when(F.col("total") > F.col("po_amount"), "exceeds").otherwise("is below").alias("direction"))
 
 
 @query("unknown_vendors", f"""{SCORED} SELECT invoice_id, vendor_anomaly AS anomaly_type, 'high' AS severity
   FROM scored WHERE vendor_anomaly IS NOT NULL""")
 def unknown_vendors(spark, sf):
-    s = _anomaly_rows(spark, sf, "unknown_vendor|missing_vendor")
+    s = _flagged(with_vendors(spark, sf), detect_unknown_vendor())
     return s.select("invoice_id", F.col("a.anomaly_type").alias("anomaly_type"), F.col("a.severity").alias("severity"))
 
 
@@ -126,25 +141,22 @@ def unknown_vendors(spark, sf):
   CASE WHEN date_anomaly_type = 'stale_invoice' THEN CAST(DATE '2000-06-01' - invoice_date AS INTEGER) END AS age_days
   FROM scored WHERE date_anomaly_type IS NOT NULL""")
 def date_anomalies(spark, sf):
-    s = _anomaly_rows(spark, sf, "future_dated_invoice|stale_invoice")
+    s = _flagged(invoices(spark, sf), detect_date_anomaly())
     return s.select("invoice_id", F.col("a.anomaly_type").alias("anomaly_type"), F.col("a.severity").alias("severity"),
-                    F.get_json_object("a.evidence", "$.age_days").cast("int").alias("age_days"))
+                    F.when(F.col("a.anomaly_type") == "stale_invoice",
+                           F.datediff(F.lit(DEFAULT_POLICY.as_of), "invoice_date")).alias("age_days"))
 
 
 @query("round_numbers", f"SELECT invoice_id, total FROM ({SCORED} SELECT * FROM scored) WHERE is_round")
 def round_numbers(spark, sf):
-    s = scored(spark, sf)
-    return (s.where(F.exists("anomalies", lambda a: a["anomaly_type"] == "round_number_amount"))
-            .select("invoice_id", "total"))
+    return _flagged(invoices(spark, sf), detect_round_number()).select("invoice_id", "total")
 
 
 @query("missing_fields", f"""{SCORED} SELECT invoice_id, missing_list AS missing_fields, sev_missing AS severity
   FROM scored WHERE n_missing > 0""")
 def missing_fields(spark, sf):
-    s = _anomaly_rows(spark, sf, "missing_critical_fields")
-    return s.select("invoice_id",
-                    F.array_join(F.from_json(F.get_json_object("a.evidence", "$.missing_fields"),
-                                             "array<string>"), ", ").alias("missing_fields"),
+    s = _flagged(invoices(spark, sf), detect_missing_fields())
+    return s.select("invoice_id", F.array_join(missing_field_list(), ", ").alias("missing_fields"),
                     F.col("a.severity").alias("severity"))
 
 
@@ -174,7 +186,8 @@ def anomaly_confidence(spark, sf):
   UNION ALL SELECT sev_round FROM scored UNION ALL SELECT sev_missing FROM scored)
   WHERE severity IS NOT NULL GROUP BY severity""")
 def anomalies_by_severity(spark, sf):
-    return _anomaly_rows(spark, sf).groupBy(F.col("a.severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    s = scored(spark, sf).select(F.explode("anomalies").alias("a"))
+    return s.groupBy(F.col("a.severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- governance ---------------------------------------------------------------
