@@ -3,8 +3,10 @@ top-k, keyword top-k and context assembly.
 
 Top-k per query uses ``row_number() <= k`` over a window partitioned by the
 query; Spark plans it as a per-partition group limit ahead of the shuffle, so
-only k rows per query leave each task. Query sets are broadcast only after a
-bounded size check; above the bound they are joined without a broadcast.
+only k rows per query leave each task. A query term has no white space, so a
+passage contains it only inside one of its words: terms are matched with the
+distinct words through an index of their character grams, and words lead to
+passages. Queries and passages are never paired up.
 """
 
 from __future__ import annotations
@@ -15,14 +17,8 @@ from pyspark.sql.window import Window
 
 from ..policy import CHUNK_MIN_CHARS, CHUNK_SPLIT
 
-MAX_BROADCAST_QUERIES = 10_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (the probe
-    reads at most max_rows + 1 rows); otherwise return it unhinted."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+GRAM = 3  # characters of a gram
+MAX_VECTOR_QUERIES = 10_000  # vectors asked in one call
 
 
 def sectioned_markdown(text: Column, lines_per_section: int = 5) -> Column:
@@ -63,14 +59,19 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
-    """Exact cosine top-k (no ANN). ``queries``: (query_id, qvec);
-    ``vectors``: (vec_id, embedding). distance = 1 - cos, relevance = 1 - distance,
-    both rounded to 4; ties broken by vec_id."""
+    """Exact cosine top-k (no ANN). ``queries``: (query_id, qvec), a stated
+    set; ``vectors``: (vec_id, embedding). distance = 1 - cos, relevance = 1 -
+    distance, both rounded to 4; ties broken by vec_id.
+    The queries travel as one broadcast row; more than MAX_VECTOR_QUERIES are
+    refused with an error while the query runs (ask them in several calls)."""
     q = queries.select("query_id", F.transform("qvec", lambda x: x.cast("double")).alias("_q"))
     q = q.withColumn("_qn", F.sqrt(_dot(F.col("_q"), F.col("_q"))))
+    one = q.limit(MAX_VECTOR_QUERIES + 1).agg(F.collect_list(F.struct("query_id", "_q", "_qn")).alias("_all"))
+    one = one.select(F.when(F.size("_all") <= MAX_VECTOR_QUERIES, F.col("_all"))
+                     .otherwise(F.raise_error(F.lit("too many query vectors in one call"))).alias("_all"))
     v = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("_v"))
     v = v.withColumn("_vn", F.sqrt(_dot(F.col("_v"), F.col("_v"))))
-    pairs = v.crossJoin(checked_broadcast(q))  # every vector against a bounded query set
+    pairs = v.crossJoin(F.broadcast(one)).select("vec_id", "_v", "_vn", F.inline("_all"))
     dist = F.lit(1.0) - _dot(F.col("_q"), F.col("_v")) / (F.col("_qn") * F.col("_vn"))
     scored = pairs.select("query_id", "vec_id", dist.alias("_d"))
     w = Window.partitionBy("query_id").orderBy("_d", "vec_id")
@@ -80,49 +81,98 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame
                       (F.round(F.lit(1.0) - F.col("_d"), 4) + F.lit(0.0)).alias("relevance_score"))
 
 
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
+def _grams(n) -> Column:
+    """The ``n``-character pieces of the word whose characters are in ``_c``."""
+    return F.when(F.size("_c") >= n, F.transform(F.sequence(F.lit(1), F.size("_c") - n + 1),
+                                                 lambda i: F.array_join(F.slice("_c", i, n), "")))
+
+
+def _spelled(df: DataFrame, word: str) -> DataFrame:
+    return df.withColumn("_c", F.filter(F.split(word, ""), lambda c: c != ""))
+
+
+def term_hits(terms: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, doc_id, chunk_index) for each passage that contains the
+    term. A term is looked up by its gram that the fewest words hold, and each
+    candidate word is checked."""
+    postings = chunks.select("chunk_id", "doc_id", "chunk_index", F.explode(F.array_distinct(_words("text"))).alias("word"))
+    vocabulary = _spelled(postings.select("word").distinct(), "word")
+    every = F.concat(*[F.coalesce(_grams(F.lit(n)), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])
+    index = vocabulary.select("word", F.explode(F.array_distinct(every)).alias("gram"))
+    n_words = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    spelled = _spelled(terms.select("term").distinct(), "term")
+    asked = spelled.select("term", F.explode(F.array_distinct(_grams(F.least(F.lit(GRAM), F.size("_c"))))).alias("gram"))
+    rarest = asked.join(n_words, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    match = rarest.join(index, "gram").where(F.col("word").contains(F.col("term"))).select("term", "word")
+    return match.join(postings, "word").select("term", "chunk_id", "doc_id", "chunk_index").distinct()
+
+
 def keyword_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """J4 scores: per (query, chunk) the number of query terms (lower-cased,
     whitespace-split, repeats counted) contained in the lower-cased chunk."""
-    q = queries.select("query_id", F.split(F.trim(F.lower("query")), r"\s+").alias("_terms"))
-    q = q.withColumn("_terms", F.filter("_terms", lambda t: t != ""))
-    c = chunks.select("chunk_id", "doc_id", "chunk_index", "text", F.lower("text").alias("_low"))
-    pairs = c.crossJoin(checked_broadcast(q))  # every chunk against a bounded query set
-    score = F.size(F.filter("_terms", lambda t: F.col("_low").contains(t)))
-    return (pairs.select("query_id", "chunk_id", "doc_id", "chunk_index", "text",
-                         score.alias("score"), F.size("_terms").alias("n_terms"))
-            .where(F.col("score") > 0))
+    q = queries.select("query_id", _words("query").alias("_terms"))
+    q = q.select("query_id", F.size("_terms").alias("n_terms"), F.explode("_terms").alias("term"))
+    q = q.groupBy("query_id", "n_terms", "term").agg(F.count(F.lit(1)).alias("times"))
+    hits = q.join(term_hits(q, chunks), "term")
+    return (hits.groupBy("query_id", "n_terms", "chunk_id", "doc_id", "chunk_index")
+            .agg(F.sum("times").cast("int").alias("score")))
+
+
+def _best(scores: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The ``k`` best passages of each query (ties keep corpus order)."""
+    w = Window.partitionBy(*by).orderBy(F.col("score").desc(), "doc_id", "chunk_index")
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
-    """Stable score-descending top k per query (ties keep corpus order)."""
-    s = keyword_scores(queries, chunks)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id", "chunk_index")
-    top = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Stable score-descending top k per query (ties keep corpus order), as
+    passage ids; join the passages for their text."""
+    top = _best(keyword_scores(queries, chunks), ["query_id"], k)
     return top.withColumn("relevance_score", F.col("score") / F.col("n_terms"))
 
 
-def policy_context(invoice_queries: DataFrame, corpus: DataFrame, per_query: int = 2,
+def policy_context(invoice_queries: DataFrame, fixed: dict[int, str], corpus: DataFrame, per_query: int = 2,
                    keep: int = 3) -> DataFrame:
-    """Per invoice, up to two queries (amount; vendor when present), top 2
-    passages each, deduplicated by text keeping the first, first 3 kept,
-    '[source] text' joined by a rule; no hit -> a fixed sentence.
-    ``invoice_queries``: (invoice_id, q_no, query); ``corpus`` is a bounded
-    policy corpus (chunk_id, doc_id, chunk_index, source, text)."""
-    q = invoice_queries.select("invoice_id", "q_no", F.split(F.trim(F.lower("query")), r"\s+").alias("_terms"))
-    c = corpus.select("chunk_id", "doc_id", "chunk_index", "source", "text", F.lower("text").alias("_low"))
-    pairs = q.crossJoin(checked_broadcast(c))  # invoices against a bounded corpus
-    score = F.size(F.filter("_terms", lambda t: F.col("_low").contains(t)))
-    s = pairs.select("invoice_id", "q_no", "doc_id", "chunk_index", "source", "text", score.alias("score")) \
-             .where(F.col("score") > 0)
-    w = Window.partitionBy("invoice_id", "q_no").orderBy(F.col("score").desc(), "doc_id", "chunk_index")
-    top = s.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_query)
-    dedup = Window.partitionBy("invoice_id", "text").orderBy("q_no", "r")
-    first = top.withColumn("_d", F.row_number().over(dedup)).where(F.col("_d") == 1)
-    order = Window.partitionBy("invoice_id").orderBy("q_no", "r")
-    kept = first.withColumn("_o", F.row_number().over(order)).where(F.col("_o") <= keep)
-    ctx = kept.groupBy("invoice_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_o", F.format_string("[%s] %s", "source", "text").alias("t")))),
-        lambda x: x["t"]), "\n\n---\n\n").alias("context"))
-    ids = invoice_queries.select("invoice_id").distinct()
-    return (ids.join(ctx, "invoice_id", "left")
-            .withColumn("context", F.coalesce("context", F.lit("No relevant policy context found."))))
+    """Per invoice, its queries' top 2 passages each, deduplicated by text
+    keeping the first, first 3 kept, '[source] text' joined by a rule; no hit ->
+    a fixed sentence. ``invoice_queries``: (invoice_id, q_no, own); query
+    ``q_no`` asks for the words ``fixed[q_no]`` and the invoice's ``own`` words.
+    ``corpus``: (chunk_id, doc_id, chunk_index, source, text).
+
+    Passages are scored once for the fixed words and once for each distinct own
+    text. A passage without an own word can only be among the best if it is
+    among the best for the fixed words alone, so only those are added."""
+    spark = invoice_queries.sparkSession
+    at = ["chunk_id", "doc_id", "chunk_index"]
+    asked = spark.createDataFrame(list(fixed.items()), "query_id int, query string")
+    base = keyword_scores(asked, corpus).select(F.col("query_id").alias("q_no"), *at, "score")
+    kinds = invoice_queries.select("q_no", "own").distinct()
+    own = keyword_scores(kinds.select(F.struct("q_no", "own").alias("query_id"), F.col("own").alias("query")), corpus)
+    own = (own.select("query_id.*", *at, "score")
+           .join(base.select("q_no", "chunk_id", F.col("score").alias("_b")), ["q_no", "chunk_id"], "left")
+           .withColumn("score", F.col("score") + F.coalesce("_b", F.lit(0))).drop("_b"))
+    # at most per_query rows for each of the fixed queries
+    plain = F.broadcast(_best(base, ["q_no"], per_query).drop("rank"))
+    found = (_best(own, ["q_no", "own"], per_query).drop("rank").unionByName(kinds.join(plain, "q_no"))
+             .groupBy("q_no", "own", *at).agg(F.max("score").alias("score")))
+    same = corpus.select("chunk_id", F.sha2("text", 256).alias("same"))
+    best = _best(found, ["q_no", "own"], per_query).join(same, "chunk_id")
+    tops = best.groupBy("q_no", "own").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "same"))).alias("top"))
+    lists = (invoice_queries.join(tops, ["q_no", "own"], "left").groupBy("invoice_id")
+             .agg(F.array_sort(F.collect_list(F.struct("q_no", "top"))).alias("_l")))
+    lists = lists.withColumn("_l", F.flatten(F.transform(F.filter("_l", lambda x: x["top"].isNotNull()),
+                                                         lambda x: x["top"])))
+    lists = lists.withColumn("_s", F.transform("_l", lambda x: x["same"]))
+    first = F.filter("_l", lambda x, i: F.array_position("_s", x["same"]) == i + 1)
+    kept = lists.select("invoice_id", F.transform(F.slice(first, 1, keep), lambda x: x["chunk_id"]).alias("ids"))
+    # each distinct list of passages is written out once
+    parts = kept.select("ids").distinct().select("ids", F.posexplode("ids").alias("pos", "chunk_id"))
+    text = corpus.select("chunk_id", F.format_string("[%s] %s", "source", "text").alias("t"))
+    context = parts.join(text, "chunk_id").groupBy("ids").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n\n---\n\n").alias("context"))
+    return (kept.join(context, "ids", "left")
+            .select("invoice_id", F.coalesce("context", F.lit("No relevant policy context found.")).alias("context")))

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..operators import retrieval as J
 from ..sources.tables import read_table
 from .catalog import query
-from .q_scoring import STORED, stored
+from ..operators.registry import no_violations
+from .q_scoring import STORED, invoices
 
 # Fixed policy questions for keyword search (query text is a parameter).
 POLICY_QUESTIONS = ("invoice approval policy for amount 5000", "vendor payment terms")
 
+# Fixed words of an invoice's amount query and vendor query.
+POLICY_WORDS = {1: "invoice approval policy for amount", 2: "vendor payment terms"}
+
 
 def markdown_docs(spark, sf):
     d = read_table(spark, sf, "documents", "doc_id", "text")
@@ -95,16 +99,13 @@ FROM (SELECT DISTINCT invoice_id FROM qs) i LEFT JOIN ctx USING (invoice_id)"""
 @query("policy_context", _policy_sql())
 def policy_context(spark, sf):
     """Per stored invoice: the amount query and (if a vendor is named) the
-    vendor query against a bounded policy corpus (the benchmark passages)."""
-    st = stored(spark, sf)
-    q1 = st.select("invoice_id", F.lit(1).alias("q_no"),
-                   F.concat(F.lit("invoice approval policy for amount "),
-                            F.col("total").cast("double").cast("string")).alias("query"))
+    vendor query against the policy corpus (the benchmark passages)."""
+    st = invoices(spark, sf).where(no_violations())
+    q1 = st.select("invoice_id", F.lit(1).alias("q_no"), F.col("total").cast("double").cast("string").alias("own"))
     q2 = (st.where(F.col("vendor_name") != "")
-          .select("invoice_id", F.lit(2).alias("q_no"),
-                  F.concat(F.lit("vendor payment terms "), F.col("vendor_name")).alias("query")))
+          .select("invoice_id", F.lit(2).alias("q_no"), F.col("vendor_name").alias("own")))
     b = read_table(spark, sf, "benchmark", "item_id", "text")
     corpus = b.select(F.md5(F.concat(F.lit("benchmark:"), F.col("item_id").cast("string"))).alias("chunk_id"),
                       F.col("item_id").alias("doc_id"), F.lit(0).alias("chunk_index"),
                       F.lit("benchmark").alias("source"), "text")
-    return J.policy_context(q1.unionByName(q2), corpus)
+    return J.policy_context(q1.unionByName(q2), POLICY_WORDS, corpus)
