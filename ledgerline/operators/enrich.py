@@ -53,35 +53,36 @@ def match_pos(inv: DataFrame, pos: DataFrame) -> DataFrame:
 
 
 def duplicate_history(inv: DataFrame, policy: Policy = DEFAULT_POLICY,
-                      history: DataFrame | None = None) -> DataFrame:
+                      history: DataFrame | None = None, witness: Column | None = None) -> DataFrame:
     """Is there an earlier invoice (by created_at, then invoice_id) with the
     same invoice_number and lower(vendor_name) no more than N days older?
 
     Skew-safe formulation (a single key may hold a large share of the rows):
       * per (number, vendor, day) only the first and last row are kept
         (a partial aggregate, combined map-side);
-      * a lag over those daily rows (at most one row per key and day) gives the
-        newest row of earlier days;
+      * a running window over those daily rows (at most one row per key and day)
+        gives the newest row of earlier days;
       * a row is a duplicate if it is not the first of its day (an earlier
         same-day row exists, within N days by construction, N >= 1), or the
         newest row of earlier days is at most N days older.
     The witness is the first row of the same day, else that newest earlier row.
-    ``history`` adds already-stored invoices as possible witnesses.
+    ``history`` adds already-stored invoices as possible witnesses; ``witness``
+    says which rows of ``inv`` may be one (those that get stored; default all).
     Rows missing the number or the vendor are never duplicates and never join
     a key group (their join key is unique per row).
     """
     cols = ["invoice_id", "invoice_number", "vendor_name", "created_at"]
-    src = inv.select(*cols)
+    src = inv.select(*cols, (F.lit(True) if witness is None else witness).alias("_w"))
     if history is not None:
-        src = src.unionByName(history.select(*cols))
+        src = src.unionByName(history.select(*cols, F.lit(True).alias("_w")))
     keyed = (src.where(~missing(F.col("invoice_number")) & ~missing(F.col("vendor_name")))
              .select(F.col("invoice_number").alias("_k1"), F.lower("vendor_name").alias("_k2"),
                      F.to_date("created_at").alias("_day"),
-                     F.struct("created_at", "invoice_id").alias("_r")))
+                     F.when(F.col("_w"), F.struct("created_at", "invoice_id")).alias("_r")))
     daily = keyed.groupBy("_k1", "_k2", "_day").agg(F.min("_r").alias("_first"),
                                                      F.max("_r").alias("_last"))
-    w = Window.partitionBy("_k1", "_k2").orderBy("_day")
-    daily = daily.withColumn("_prev", F.lag("_last").over(w)).drop("_last")
+    w = Window.partitionBy("_k1", "_k2").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    daily = daily.withColumn("_prev", F.last("_last", ignorenulls=True).over(w)).drop("_last")
 
     k1 = _spread_key(F.col("invoice_number"), F.col("invoice_id"))
     k2 = F.when(missing(F.col("vendor_name")), F.lit("")).otherwise(F.lower("vendor_name"))
@@ -106,7 +107,8 @@ def duplicate_history(inv: DataFrame, policy: Policy = DEFAULT_POLICY,
 
 
 def enrich(inv: DataFrame, vendors: DataFrame, pos: DataFrame,
-           policy: Policy = DEFAULT_POLICY, history: DataFrame | None = None) -> DataFrame:
+           policy: Policy = DEFAULT_POLICY, history: DataFrame | None = None,
+           witness: Column | None = None) -> DataFrame:
     """All lookups an invoice needs, each done once (the reference repeats
     them per check: 4 PO, 4 vendor, 2 duplicate lookups per invoice)."""
-    return duplicate_history(match_pos(match_vendors(inv, vendors), pos), policy, history)
+    return duplicate_history(match_pos(match_vendors(inv, vendors), pos), policy, history, witness)

@@ -17,6 +17,14 @@ from .validate import abs_variance_exceeds, variance_double
 GATE_ORDER = ("g_ocr", "g_dup", "g_conf_extract", "g_vendor", "g_variance",
               "g_conf_validate", "g_materiality", "g_conf_anomaly")
 
+RULE_OF = {"g_ocr": "ocr_confidence_gate", "g_dup": "duplicate_detection", "g_conf_extract": "agent_confidence_gate",
+           "g_vendor": "unknown_vendor", "g_variance": "variance_threshold",
+           "g_conf_validate": "agent_confidence_gate", "g_materiality": "materiality_gate",
+           "g_conf_anomaly": "agent_confidence_gate"}
+ACTOR_OF = {"g_ocr": ROLE_INTAKE, "g_dup": ROLE_ANOMALY, "g_conf_extract": ROLE_EXTRACTION,
+            "g_vendor": ROLE_VALIDATION, "g_variance": ROLE_VALIDATION, "g_conf_validate": ROLE_VALIDATION,
+            "g_materiality": ROLE_RECONCILIATION, "g_conf_anomaly": ROLE_ANOMALY}
+
 
 def _decision(rule: str, decision: str, level: Column | str, actor: str, reason: Column,
               threshold: Column | None = None, actual: Column | None = None,
@@ -138,11 +146,7 @@ def gate_columns(p: Policy = DEFAULT_POLICY) -> dict[str, tuple[Column, Column]]
         "g_conf_anomaly": gate_confidence(p, F.col("anomaly_conf_dec") < dec(t, 6, 3),
                                           F.col("anomaly_confidence"), ROLE_ANOMALY),
     }
-    rule_of = {"g_ocr": "ocr_confidence_gate", "g_dup": "duplicate_detection",
-               "g_conf_extract": "agent_confidence_gate", "g_vendor": "unknown_vendor",
-               "g_variance": "variance_threshold", "g_conf_validate": "agent_confidence_gate",
-               "g_materiality": "materiality_gate", "g_conf_anomaly": "agent_confidence_gate"}
-    return {k: ((c if p.enabled(rule_of[k]) else F.lit(False)), d) for k, (c, d) in gates.items()}
+    return {k: ((c if p.enabled(RULE_OF[k]) else F.lit(False)), d) for k, (c, d) in gates.items()}
 
 
 def govern(df: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -150,7 +154,8 @@ def govern(df: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
     Status, first escalation level and notes are computed from the gate
     columns with plain CASE / coalesce / concat_ws (all inside whole-stage
-    codegen); the ordered array is built once, for output only.
+    codegen); the ordered array is built once, for output only. The gates'
+    booleans stay as ``<gate>_on``.
     """
     specs = gate_columns(policy)
     # cheap boolean columns first; status and counts only read these
@@ -176,7 +181,23 @@ def govern(df: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     gates = [F.col(g) for g in GATE_ORDER]
     return (out.withColumns({"notes": F.concat_ws("; ", *[g["reason"] for g in gates]),
                              "decisions": F.array_compact(F.array(*gates))})
-            .drop(*GATE_ORDER, *[f"{g}_on" for g in GATE_ORDER]))
+            .drop(*GATE_ORDER))
+
+
+def gate_decisions(df: DataFrame, gates: list[str], policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """F7's rows of some gates alone: filtered on the gate's boolean before the
+    decision is built. ``df`` needs the columns that these gates and those
+    before them in the order read."""
+    specs = gate_columns(policy)
+    upto = GATE_ORDER[:max(GATE_ORDER.index(g) for g in gates) + 1]
+    flags = df.withColumns({f"{g}_on": specs[g][0] for g in upto})
+    fired = []
+    for g in gates:
+        before = sum((F.col(f"{x}_on").cast("int") for x in GATE_ORDER[:GATE_ORDER.index(g)]), F.lit(0))
+        fired.append(F.when(F.col(f"{g}_on"), F.struct((before + 1).alias("seq"), specs[g][1].alias("d"))))
+    on = flags.where(F.greatest(*[F.col(f"{g}_on") for g in gates]) if len(gates) > 1 else F.col(f"{gates[0]}_on"))
+    rows = on.select("invoice_id", F.explode(F.array_compact(F.array(*fired))).alias("r"))
+    return rows.select("invoice_id", F.col("r.seq").alias("seq"), "r.d.*")
 
 
 def decision_rows(scored: DataFrame) -> DataFrame:

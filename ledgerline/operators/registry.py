@@ -112,6 +112,11 @@ def invoice_violations(inv: DataFrame) -> DataFrame:
     return inv.withColumn("violations", v)
 
 
+def no_violations() -> F.Column:
+    """Only rows without violations are stored."""
+    return F.size("violations") == 0
+
+
 def line_violations(lines: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """B8 on line items, and B10's tolerance check (reported, never gating)."""
     d = F.col("description")

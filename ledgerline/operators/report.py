@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..policy import (DEFAULT_POLICY, ROLE_ANOMALY, ROLE_EXTRACTION, ROLE_INTAKE,
                       ROLE_RECONCILIATION, ROLE_VALIDATION, Policy)
+from .governance import materiality_level
 
 D38 = "decimal(38,2)"
 
@@ -23,35 +24,37 @@ def reconciliation_items(scored: DataFrame) -> DataFrame:
                          F.col("anomaly_types").alias("anomaly_flags"), "escalation_level", "notes")
 
 
-def error_items(errors: DataFrame) -> DataFrame:
-    """Rows that violate a row constraint become rejected error items."""
-    return errors.select(
-        "invoice_id", F.lit(None).cast("string").alias("vendor_name"),
-        F.lit(None).cast("string").alias("invoice_number"), F.lit(None).cast("decimal(18,2)").alias("total"),
-        F.lit("rejected").alias("status"), F.array(F.lit("processing_error")).alias("anomaly_flags"),
-        F.lit("none").alias("escalation_level"),
-        F.concat(F.lit("Processing error: unsupported currency "), F.coalesce(F.col("currency"), F.lit(""))).alias("notes"))
-
-
-def batch_report(scored: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """Batch tallies; error items count as rejected, and are not values."""
-    st = F.col("status")
-    agg = scored.agg(
-        F.count(F.lit(1)).alias("_n"),
+def batch_items(scored: DataFrame, bad: Column) -> DataFrame:
+    """G1 + B11 in one pass: an item for each invoice; a ``bad`` row (one that
+    violates a row constraint) becomes a rejected error item."""
+    def unless_bad(c, error) -> Column:
+        return F.when(bad, error).otherwise(F.col(c))
+
+    null = F.lit(None)
+    return scored.select(
+        "invoice_id", unless_bad("vendor_name", null).alias("vendor_name"),
+        unless_bad("invoice_number", null).alias("invoice_number"), unless_bad("total", null).alias("total"),
+        unless_bad("status", F.lit("rejected")).alias("status"),
+        unless_bad("anomaly_types", F.array(F.lit("processing_error"))).alias("anomaly_flags"),
+        unless_bad("escalation_level", F.lit("none")).alias("escalation_level"),
+        unless_bad("notes", F.concat(F.lit("Not stored, breaks: "), F.array_join("violations", ", "))).alias("notes"))
+
+
+def batch_report(scored: DataFrame, bad: Column | None = None) -> DataFrame:
+    """Batch tallies in one aggregate; ``bad`` rows (errors) count as
+    rejected, and are not values."""
+    bad = F.lit(False) if bad is None else bad
+    st = F.when(bad, F.lit("error")).otherwise(F.col("status"))
+    value = F.when(~bad, F.col("total"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("total_invoices"),
         _count_if(st == "approved").alias("approved"),
-        _count_if(~st.isin("flagged", "on_hold", "rejected")).alias("matched"),
+        _count_if(~st.isin("flagged", "on_hold", "rejected", "error")).alias("matched"),
         _count_if(st.isin("flagged", "on_hold")).alias("flagged"),
-        _count_if(st == "rejected").alias("_rej"),
+        _count_if(st.isin("rejected", "error")).alias("rejected"),
         _count_if(st == "on_hold").alias("on_hold"),
-        F.coalesce(F.sum("total"), F.lit(0)).cast(D38).alias("total_value"),
-        F.coalesce(F.sum(F.when(st.isin("flagged", "on_hold"), F.col("total"))), F.lit(0)).cast(D38)
-        .alias("flagged_value"))
-    n_err = (errors.agg(F.count(F.lit(1)).alias("_e")) if errors is not None
-             else agg.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("_e")))
-    # two single-row aggregates side by side
-    return agg.crossJoin(n_err).select(
-        (F.col("_n") + F.col("_e")).alias("total_invoices"), "approved", "matched", "flagged",
-        (F.col("_rej") + F.col("_e")).alias("rejected"), "on_hold", "total_value", "flagged_value")
+        F.coalesce(F.sum(value), F.lit(0)).cast(D38).alias("total_value"),
+        F.coalesce(F.sum(F.when(st.isin("flagged", "on_hold"), value)), F.lit(0)).cast(D38).alias("flagged_value"))
 
 
 def batch_stage_event(batch: DataFrame) -> DataFrame:
@@ -107,34 +110,35 @@ def agent_stages():
                  F.lit(True).alias("gated")))
 
 
-def governance_kpis(stored: DataFrame) -> DataFrame:
+def governance_kpis(stored: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """The twelve dashboard numbers as one single-row aggregate over the
-    scored rows: decision counts come from each row's decision array and the
-    confidence mean from its four stage confidences, so the scoring plan is
+    scored rows: decision counts come from the gates' booleans and the
+    confidence mean from the four stage confidences, so the scoring plan is
     read once (partial aggregates per task, one row shuffled per task)."""
-    st = F.col("status")
-
-    def n_decisions(pred) -> Column:
-        return F.sum(F.size(F.filter("decisions", pred)))
-
+    st, level = F.col("status"), materiality_level(policy)
     # stage confidences in exact integer thousandths; a NULL confidence is
     # skipped by the sum but still counted, as a row of the stage table
-    k = F.transform(agent_stages(), lambda s: F.round(s["confidence"] * 1000).cast("bigint"))
-    row_k = F.aggregate(k, F.lit(None).cast("bigint"),
-                        lambda acc, x: F.when(x.isNull(), acc).otherwise(F.coalesce(acc, F.lit(0).cast("bigint")) + x))
+    stages = [F.least(F.col("ocr_confidence"), F.lit(1.2)), F.col("extraction_confidence"),
+              F.col("validation_confidence"), F.col("anomaly_confidence")]
+    sums = [F.sum(F.round(c * 1000).cast("bigint")) for c in stages]
+    total = sum((F.coalesce(x, F.lit(0)) for x in sums), F.lit(0))
+
+    def tier(name: str) -> Column:  # only materiality escalates to a tier
+        return _count_if(F.col("g_materiality_on") & (level == name))
+
     agg = stored.agg(
         F.count(F.lit(1)).alias("total_processed"),
         _count_if(st.isin("pending", "on_hold", "flagged")).alias("pending_review"),
         _count_if(st == "approved").alias("auto_approved"),
         _count_if(F.col("ocr_confidence") < F.lit(0.85)).alias("ocr_failures"),
-        n_decisions(lambda d: d["escalation_level"] == "l1_manager").alias("escalated_l1"),
-        n_decisions(lambda d: d["escalation_level"] == "l2_controller").alias("escalated_l2"),
-        n_decisions(lambda d: d["escalation_level"] == "l3_vp_cfo").alias("escalated_l3"),
-        n_decisions(lambda d: d["decision"] == "block").alias("blocked"),
-        n_decisions(lambda d: d["rule_triggered"] == "duplicate_detection").alias("duplicate_flags"),
-        n_decisions(lambda d: d["rule_triggered"] == "unknown_vendor").alias("unknown_vendor_flags"),
-        n_decisions(lambda d: d["rule_triggered"] == "variance_threshold").alias("amount_variance_flags"),
-        F.sum(row_k).alias("_s"), F.coalesce(F.sum(F.size(agent_stages())), F.lit(0)).alias("_n"))
+        tier("l1_manager").alias("escalated_l1"), tier("l2_controller").alias("escalated_l2"),
+        tier("l3_vp_cfo").alias("escalated_l3"),
+        _count_if(F.col("g_dup_on")).alias("blocked"),  # the only blocking gate
+        _count_if(F.col("g_dup_on")).alias("duplicate_flags"),
+        _count_if(F.col("g_vendor_on")).alias("unknown_vendor_flags"),
+        _count_if(F.col("g_variance_on")).alias("amount_variance_flags"),
+        F.when(F.coalesce(*sums).isNotNull(), total).alias("_s"),
+        (F.count(F.lit(1)) * len(stages)).alias("_n"))
     counts = ["escalated_l1", "escalated_l2", "escalated_l3", "blocked", "duplicate_flags",
               "unknown_vendor_flags", "amount_variance_flags"]
     return agg.select(

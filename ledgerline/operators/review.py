@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..policy import APPROVABLE_STATUSES, RATIONALE_CATEGORIES, REVIEW_DECISIONS, REVIEW_STATUS
 from .prefix import prior_counts, ratio_half_even
@@ -137,6 +138,28 @@ def newest(saved: DataFrame, n: int) -> DataFrame:
     return saved.orderBy(F.col("timestamp").desc(), F.col("seq").desc()).limit(n)
 
 
+def history_by(saved: DataFrame, who: str, n: int | None = None) -> DataFrame:
+    """H10 for every invoice or reviewer (``who``) at once: position of each
+    decision, newest first; ``n`` keeps the newest so many of each (planned as
+    a group limit ahead of the shuffle)."""
+    w = Window.partitionBy(who).orderBy(F.col("timestamp").desc(), F.col("seq").desc())
+    out = saved.withColumn("position", F.row_number().over(w))
+    return out if n is None else out.where(F.col("position") <= n)
+
+
+def approval_rows(requests: DataFrame) -> DataFrame:
+    """What an accepted request writes: a status change and the human
+    decision, as audit rows."""
+    ok = requests.where(F.col("outcome") == "accepted").withColumn(
+        "kind", F.explode(F.array(F.lit("invoice.status_change"), F.concat(F.lit("human."), F.col("action")))))
+    change = F.col("kind") == "invoice.status_change"
+    return ok.select(
+        F.md5(F.concat_ws("|", "request_id", "kind")).alias("entry_id"), "invoice_id", F.col("kind").alias("event_type"),
+        F.concat(F.lit("human:"), F.col("requested_by")).alias("actor"),
+        F.when(change, F.to_json(F.struct(F.col("prior_status").alias("status")))).alias("before_state"),
+        F.when(change, F.to_json(F.struct(F.col("new_status").alias("status")))).alias("after_state"))
+
+
 def approval_requests(reviews: DataFrame, stored: DataFrame) -> DataFrame:
     """Approve / reject requests against current statuses."""
     req = (reviews.where(F.col("decision").isin("approve", "reject"))

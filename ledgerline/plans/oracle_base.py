@@ -59,21 +59,23 @@ reg AS (
   FROM vendors GROUP BY lower(name)),
 dup AS (
   SELECT invoice_id,
-         lag(created_at) OVER w AS prev_ts, lag(invoice_id) OVER w AS prev_id,
-         first_value(invoice_id) OVER wd AS day_first_id
-  FROM inv
+         last_value(good_ts IGNORE NULLS) OVER w AS prev_ts, last_value(good_id IGNORE NULLS) OVER w AS prev_id,
+         first_value(good_id IGNORE NULLS) OVER wd AS day_first_id
+  FROM (SELECT *, CASE WHEN currency IN ('USD','CAD','EUR','GBP','AUD','JPY','CHF') THEN created_at END AS good_ts,
+               CASE WHEN currency IN ('USD','CAD','EUR','GBP','AUD','JPY','CHF') THEN invoice_id END AS good_id FROM inv)
   WHERE invoice_number <> '' AND vendor_name <> ''
-  WINDOW w AS (PARTITION BY invoice_number, lower(vendor_name) ORDER BY created_at, invoice_id),
+  WINDOW w AS (PARTITION BY invoice_number, lower(vendor_name) ORDER BY created_at, invoice_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          wd AS (PARTITION BY invoice_number, lower(vendor_name), CAST(created_at AS DATE)
-                ORDER BY created_at, invoice_id)),
+                ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 e AS (
   SELECT i.*, r.matched_vendor_id, r.registry_name,
          r.matched_vendor_id IS NOT NULL AS vendor_found,
          coalesce(r.registry_approved, false) AS vendor_approved,
          p.amount AS po_amount, p.amount IS NOT NULL AS po_found,
-         coalesce(d.day_first_id <> i.invoice_id
+         coalesce(d.day_first_id IS NOT NULL
                   OR d.prev_ts >= i.created_at - INTERVAL 90 DAY, false) AS is_duplicate,
-         CASE WHEN d.day_first_id <> i.invoice_id THEN d.day_first_id
+         CASE WHEN d.day_first_id IS NOT NULL THEN d.day_first_id
               WHEN d.prev_ts >= i.created_at - INTERVAL 90 DAY THEN d.prev_id END AS duplicate_of
   FROM inv i
   LEFT JOIN reg r ON r.vkey = lower(i.vendor_name) AND i.vendor_name <> ''

@@ -15,7 +15,7 @@ from ..sources import domain
 from .catalog import query
 from .oracle_base import DOMAIN, ENRICHED, with_ctes
 from .q_review import HD, saved
-from .q_scoring import ALLOWED, STORED, errors, scored, stored
+from .q_scoring import ALLOWED, STORED, scored, stored
 
 BASE = with_ctes(DOMAIN, ENRICHED)
 
@@ -124,7 +124,7 @@ def vendor_approved(spark, sf):
 
 @query("po_match_join", f"{BASE} SELECT invoice_id, po_found, po_amount FROM e")
 def po_match_join(spark, sf):
-    return match_pos(domain.invoices(spark, sf), domain.purchase_orders(spark, sf)).select(
+    return match_pos(domain.invoices(spark, sf), domain.po_amounts(spark, sf)).select(
         "invoice_id", "po_found", "po_amount")
 
 
@@ -178,5 +178,5 @@ def line_total_mismatch(spark, sf):
 @query("batch_with_errors", f"""{STORED} SELECT invoice_id, status, anomaly_types AS anomaly_flags FROM stored
 UNION ALL SELECT invoice_id, 'rejected', 'processing_error' FROM scored WHERE currency NOT IN {ALLOWED}""")
 def batch_with_errors(spark, sf):
-    items = report.reconciliation_items(stored(spark, sf)).unionByName(report.error_items(errors(spark, sf)))
+    items = report.batch_items(scored(spark, sf), ~G.no_violations())
     return items.select("invoice_id", "status", F.array_join("anomaly_flags", ",").alias("anomaly_flags"))

@@ -161,6 +161,24 @@ def review_history(spark, sf):
     return R.newest(saved(spark, sf), 50).select("decision_id", "invoice_id", "reviewer_id", "decision", "timestamp")
 
 
+def _history_sql(who: str, limit: str = "") -> str:
+    return f"""{HD}, h AS (SELECT decision_id, invoice_id, reviewer_id,
+  row_number() OVER (PARTITION BY {who} ORDER BY timestamp DESC, seq DESC) AS position FROM saved)
+SELECT * FROM h {limit}"""
+
+
+@query("review_history_by_invoice", _history_sql("invoice_id"))
+def review_history_by_invoice(spark, sf):
+    return R.history_by(saved(spark, sf), "invoice_id").select(
+        "decision_id", "invoice_id", "reviewer_id", F.col("position").cast("bigint").alias("position"))
+
+
+@query("review_history_by_reviewer", _history_sql("reviewer_id", "WHERE position <= 50"))
+def review_history_by_reviewer(spark, sf):
+    return R.history_by(saved(spark, sf), "reviewer_id", 50).select(
+        "decision_id", "invoice_id", "reviewer_id", F.col("position").cast("bigint").alias("position"))
+
+
 @query("consistency_overview", f"""{HD}
 SELECT 'flag' AS part, original_flag AS name, count(*) AS total, {COUNTS_SQL},
   {_hours_sql('count(*)')} AS avg_resolution_hours, CAST(NULL AS DOUBLE) AS avg_consistency
@@ -171,15 +189,31 @@ def consistency_overview(spark, sf):
     return R.overview(saved(spark, sf), scores(spark, sf))
 
 
-@query("approval_requests", f"""{HD} SELECT h.decision_id AS request_id, h.invoice_id, h.decision AS action,
-  s.status AS prior_status,
+REQUESTS_SQL = f"""{HD}, req AS (SELECT h.decision_id AS request_id, h.invoice_id, h.decision AS action,
+  s.status AS prior_status, h.reviewer_id,
   CASE WHEN s.status IS NULL THEN 'not_found'
        WHEN h.decision = 'approve' AND s.status NOT IN ('pending','processing','validated','flagged','on_hold') THEN 'conflict'
        WHEN h.decision = 'reject' AND s.status = 'approved' THEN 'conflict' ELSE 'accepted' END AS outcome
-FROM hd h LEFT JOIN stored s ON s.invoice_id = h.invoice_id WHERE h.decision IN ('approve','reject')""")
+FROM hd h LEFT JOIN stored s ON s.invoice_id = h.invoice_id WHERE h.decision IN ('approve','reject')),
+req2 AS (SELECT *, CASE WHEN outcome = 'accepted' THEN CASE action WHEN 'approve' THEN 'approved' ELSE 'rejected' END END
+  AS new_status FROM req)"""
+
+
+@query("approval_requests", f"""{REQUESTS_SQL} SELECT request_id, invoice_id, action, prior_status, outcome, new_status
+FROM req2""")
 def approval_requests(spark, sf):
     return R.approval_requests(reviews(spark, sf), stored(spark, sf)).select(
-        "request_id", "invoice_id", "action", "prior_status", "outcome")
+        "request_id", "invoice_id", "action", "prior_status", "outcome", "new_status")
+
+
+@query("approval_rows", f"""{REQUESTS_SQL}
+SELECT md5(request_id || '|invoice.status_change') AS entry_id, invoice_id, 'invoice.status_change' AS event_type,
+  'human:' || reviewer_id AS actor, '{{"status":"' || prior_status || '"}}' AS before_state,
+  '{{"status":"' || new_status || '"}}' AS after_state FROM req2 WHERE outcome = 'accepted'
+UNION ALL SELECT md5(request_id || '|human.' || action), invoice_id, 'human.' || action, 'human:' || reviewer_id, NULL, NULL
+FROM req2 WHERE outcome = 'accepted'""")
+def approval_rows(spark, sf):
+    return R.approval_rows(R.approval_requests(reviews(spark, sf), stored(spark, sf)))
 
 
 @query("review_audit_rows", f"""{HD} SELECT md5(decision_id || '|human_review') AS entry_id, invoice_id,

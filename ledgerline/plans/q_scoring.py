@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import report
-from ..operators.anomaly import (detect_amount_outlier, detect_date_anomaly, detect_missing_fields,
+from ..operators.anomaly import (analyze, detect_amount_outlier, detect_date_anomaly, detect_missing_fields,
                                  detect_round_number, detect_unknown_vendor, missing_field_list)
 from ..operators.enrich import duplicate_history, match_pos, match_vendors
-from ..operators.governance import decision_audit_rows, decision_rows
-from ..operators.validate import check_arithmetic, check_currency, check_date, check_po, check_vendor
-from ..policy import CURRENCIES, DEFAULT_POLICY
+from ..operators.governance import decision_audit_rows, decision_rows, gate_decisions
+from ..operators.validate import check_arithmetic, check_currency, check_date, check_po, check_vendor, validate
+from ..policy import DEFAULT_POLICY
 from ..sources import domain
 from .catalog import query
 from .oracle_base import SCORED
+from ..operators.registry import invoice_violations, no_violations
 from .scoring import normalise_currency, scored_from_tables
 
 ALLOWED = "('USD','CAD','EUR','GBP','AUD','JPY','CHF')"
@@ -27,16 +28,12 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored(spark: SparkSession, sf: str) -> DataFrame:
     """Invoices that pass the row constraints (B8) and are persisted."""
-    return scored(spark, sf).where(F.col("currency").isin(*CURRENCIES))
-
-
-def errors(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf).where(~F.col("currency").isin(*CURRENCIES))
+    return scored(spark, sf).where(no_violations())
 
 
 def invoices(spark: SparkSession, sf: str) -> DataFrame:
     """Invoices without lookups: enough for checks on their own fields."""
-    return normalise_currency(domain.invoices(spark, sf))
+    return invoice_violations(normalise_currency(domain.invoices(spark, sf)))
 
 
 def with_vendors(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +41,11 @@ def with_vendors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def with_pos(spark: SparkSession, sf: str) -> DataFrame:
-    return match_pos(invoices(spark, sf), domain.purchase_orders(spark, sf))
+    return match_pos(invoices(spark, sf), domain.po_amounts(spark, sf))
+
+
+def with_duplicates(inv: DataFrame) -> DataFrame:
+    return duplicate_history(inv, witness=no_violations())
 
 
 def _check(frame, check):
@@ -112,7 +113,7 @@ def validation_summary(spark, sf):
 @query("duplicates_90d", f"""{SCORED} SELECT invoice_id, invoice_number, lower(vendor_name) AS vendor_key,
   duplicate_of FROM scored WHERE is_duplicate""")
 def duplicates_90d(spark, sf):
-    return (duplicate_history(invoices(spark, sf)).where("is_duplicate")
+    return (with_duplicates(invoices(spark, sf)).where("is_duplicate")
             .select("invoice_id", "invoice_number", F.lower("vendor_name").alias("vendor_key"), "duplicate_of"))
 
 
@@ -199,16 +200,39 @@ def decisions(spark, sf) -> DataFrame:
     return decision_rows(scored(spark, sf))
 
 
-def _gate(rule: str):
+def _dup_frame(spark, sf) -> DataFrame:
+    return with_duplicates(invoices(spark, sf))
+
+
+def _vendor_frame(spark, sf) -> DataFrame:
+    return with_duplicates(with_vendors(spark, sf))
+
+
+def _lookup_frame(spark, sf) -> DataFrame:
+    return with_duplicates(match_pos(with_vendors(spark, sf), domain.po_amounts(spark, sf)))
+
+
+def _full_frame(spark, sf) -> DataFrame:
+    return analyze(validate(_lookup_frame(spark, sf)))
+
+
+def _gate(frame, gates):
+    """The decisions of some gates, on the frame that holds what these and the
+    gates before them read (the position in the list counts those)."""
     def run(spark, sf):
-        return decisions(spark, sf).where(F.col("rule_triggered") == rule).select(*DEC_COLS.split(", "))
+        return gate_decisions(frame(spark, sf), gates).select(*DEC_COLS.split(", "))
     return run
 
 
-for _key, _rule in [("gate_ocr", "ocr_confidence_gate"), ("gate_duplicate", "duplicate_detection"),
-                    ("gate_unknown_vendor", "unknown_vendor"), ("gate_variance", "variance_threshold"),
-                    ("gate_materiality", "materiality_gate"), ("gate_confidence", "agent_confidence_gate")]:
-    query(_key, f"{SCORED} SELECT {DEC_COLS} FROM decisions WHERE rule_triggered = '{_rule}'")(_gate(_rule))
+for _key, _rule, _frame, _gates in [
+        ("gate_ocr", "ocr_confidence_gate", invoices, ["g_ocr"]),
+        ("gate_duplicate", "duplicate_detection", _dup_frame, ["g_dup"]),
+        ("gate_unknown_vendor", "unknown_vendor", _vendor_frame, ["g_vendor"]),
+        ("gate_variance", "variance_threshold", _lookup_frame, ["g_variance"]),
+        ("gate_materiality", "materiality_gate", _full_frame, ["g_materiality"]),
+        ("gate_confidence", "agent_confidence_gate", _full_frame,
+         ["g_conf_extract", "g_conf_validate", "g_conf_anomaly"])]:
+    query(_key, f"{SCORED} SELECT {DEC_COLS} FROM decisions WHERE rule_triggered = '{_rule}'")(_gate(_frame, _gates))
 
 
 @query("governance_decisions", f"{SCORED} SELECT {DEC_COLS} FROM decisions")
@@ -268,7 +292,7 @@ FROM stored"""
 
 @query("batch_report", BATCH_SQL)
 def batch_report(spark, sf):
-    return report.batch_report(stored(spark, sf), errors(spark, sf))
+    return report.batch_report(scored(spark, sf), ~no_violations())
 
 
 @query("ledger_by_status", f"""{STORED} SELECT coalesce(status, 'unknown') AS status, count(*) AS n_invoices,

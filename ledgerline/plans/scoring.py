@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.anomaly import analyze
 from ..operators.enrich import enrich, match_pos, match_vendors
 from ..operators.governance import govern
+from ..operators.registry import invoice_violations, no_violations
 from ..operators.validate import validate
 from ..policy import DEFAULT_POLICY, Policy
 from ..sources import domain
@@ -28,9 +29,9 @@ def score(inv: DataFrame, vendors: DataFrame, pos: DataFrame,
     DataFrame of (invoice_id, is_duplicate, duplicate_of,
     duplicate_of_created_at) supplies it from elsewhere (the streaming
     detector); False scores without a history."""
-    inv = normalise_currency(inv)
+    inv = invoice_violations(normalise_currency(inv))
     if duplicates is True:
-        e = enrich(inv, vendors, pos, policy, history)
+        e = enrich(inv, vendors, pos, policy, history, no_violations())
     else:
         e = match_pos(match_vendors(inv, vendors), pos)
         if duplicates is False:
@@ -45,4 +46,4 @@ def score(inv: DataFrame, vendors: DataFrame, pos: DataFrame,
 def scored_from_tables(spark: SparkSession, sf_dir: str,
                        policy: Policy = DEFAULT_POLICY) -> DataFrame:
     return score(domain.invoices(spark, sf_dir), domain.vendors(spark, sf_dir),
-                 domain.purchase_orders(spark, sf_dir), policy)
+                 domain.po_amounts(spark, sf_dir), policy)

@@ -56,22 +56,27 @@ def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(30).alias("payment_terms_days")))
 
 
-def purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One PO per (order, line); amount = line price x a per-line factor."""
+def po_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One PO per (order, line); amount = line price x a per-line factor.
+    All that a PO lookup reads: the dates come with ``purchase_orders``."""
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey",
                     "l_extendedprice")
-    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
     g = (li.groupBy("l_orderkey", "l_linenumber")
          .agg(F.min("l_extendedprice").alias("_price"), F.min("l_suppkey").alias("_supp")))
     factor = (F.lit(0.55).cast("decimal(2,2)")
               + F.lit(0.15).cast("decimal(2,2)") * (F.col("l_linenumber") - 1)).cast(D4_2)
-    return (g.join(o, g.l_orderkey == o.o_orderkey, "left")
-            .select(po_number_of(F.col("l_orderkey"), F.col("l_linenumber")).alias("po_number"),
+    return g.select("l_orderkey", po_number_of(F.col("l_orderkey"), F.col("l_linenumber")).alias("po_number"),
                     F.concat(F.lit("VND"), F.col("_supp").cast("string")).alias("vendor_id"),
-                    (F.col("_price").cast(D12_2) * factor).cast(D18_2).alias("amount"),
-                    F.lit("USD").alias("currency"),
-                    F.to_date("o_orderdate").alias("issued_date"),
-                    F.lit("open").alias("status")))
+                    (F.col("_price").cast(D12_2) * factor).cast(D18_2).alias("amount"))
+
+
+def purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The PO ledger: amounts with currency, order date and status."""
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    g = po_amounts(spark, sf_dir)
+    return (g.join(o, g.l_orderkey == o.o_orderkey, "left")
+            .select("po_number", "vendor_id", "amount", F.lit("USD").alias("currency"),
+                    F.to_date("o_orderdate").alias("issued_date"), F.lit("open").alias("status")))
 
 
 LINEITEM_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",

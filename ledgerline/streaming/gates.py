@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import missing
 from ..operators.enrich import duplicate_history
+from ..operators.registry import invoice_violations, no_violations
 from ..policy import DEFAULT_POLICY, Policy
 from ..session import ensure_checkpoint_dir
 from ..sources import domain
 
-HISTORY = "invoice_id string, invoice_number string, vendor_name string, created_at timestamp_ntz, batch bigint"
+HISTORY = ("invoice_id string, invoice_number string, vendor_name string, created_at timestamp_ntz, "
+           "valid boolean, batch bigint")
 FLAGS = ("invoice_id string, is_duplicate boolean, duplicate_of string, duplicate_of_created_at timestamp_ntz, "
          "batch bigint")
 
@@ -44,14 +46,21 @@ def stream_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
 
 
+def storable(inv: DataFrame) -> DataFrame:
+    """Adds ``valid``: the invoice breaks no row constraint."""
+    usd = inv.withColumn("currency", F.coalesce("currency", F.lit("USD")))
+    return invoice_violations(usd).withColumn("valid", no_violations())
+
+
 def duplicates_step(base: str, policy: Policy = DEFAULT_POLICY):
-    """What K2 does with a micro-batch of invoices."""
+    """What K2 does with a micro-batch of invoices; only ``valid`` ones are
+    stored and can be the earlier invoice of a pair."""
     days = int(policy.duplicate_days) + 1
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         (batch.where(~missing(F.col("invoice_number")) & ~missing(F.col("vendor_name")))
-         .select("invoice_id", "invoice_number", "vendor_name", "created_at")
+         .select("invoice_id", "invoice_number", "vendor_name", "created_at", "valid")
          .write.mode("overwrite").parquet(f"{base}/rows/batch={number}"))
         seen = spark.read.schema(HISTORY).parquet(f"{base}/rows").where(F.col("batch") <= number)
         key = [F.col("invoice_number").alias("_n"), F.lower("vendor_name").alias("_v")]
@@ -59,7 +68,7 @@ def duplicates_step(base: str, policy: Policy = DEFAULT_POLICY):
                   .agg(F.min("created_at").alias("_lo"), F.max("created_at").alias("_hi")))
         near = (seen.select("*", *key).join(around, ["_n", "_v"])
                 .where(F.expr(f"created_at BETWEEN _lo - INTERVAL {days} DAYS AND _hi + INTERVAL {days} DAYS")))
-        flags = duplicate_history(near, policy).where("created_at >= _lo")
+        flags = duplicate_history(near, policy, witness=F.col("valid")).where("created_at >= _lo")
         (flags.select("invoice_id", "is_duplicate", "duplicate_of", "duplicate_of_created_at")
          .write.mode("overwrite").parquet(f"{base}/flags/batch={number}"))
     return step
@@ -91,8 +100,8 @@ def stream_duplicates(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT
     """K2: continuous 90-day duplicate detection. With a ``name`` a later call
     goes on where the last one ended."""
     base = stream_folder(spark, name or f"dups_{uuid.uuid4().hex[:8]}")
-    inv = domain.invoices(spark, sf_dir, lineitem=lineitem_stream(spark, sf_dir))
-    q = (inv.select("invoice_id", "invoice_number", "vendor_name", "created_at").writeStream
+    inv = storable(domain.invoices(spark, sf_dir, lineitem=lineitem_stream(spark, sf_dir)))
+    q = (inv.select("invoice_id", "invoice_number", "vendor_name", "created_at", "valid").writeStream
          .foreachBatch(duplicates_step(base, policy))
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -108,7 +117,7 @@ def stream_gates(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLI
     name = name or f"gates_{uuid.uuid4().hex[:8]}"
     dups = stream_duplicates(spark, sf_dir, policy, f"{name}_dups")
     inv = domain.invoices(spark, sf_dir, lineitem=lineitem_stream(spark, sf_dir))
-    scored = score(inv, domain.vendors(spark, sf_dir), domain.purchase_orders(spark, sf_dir), policy,
+    scored = score(inv, domain.vendors(spark, sf_dir), domain.po_amounts(spark, sf_dir), policy,
                    duplicates=dups)
     out = scored.select("invoice_id", "status", "escalation_level", "n_decisions", "validation_status",
                         "risk_score")
