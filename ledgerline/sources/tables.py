@@ -17,5 +17,5 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Already-extracted document text, one row per file (A2 input)."""
-    return (spark.read.option("wholetext", "true").text(path)
+    return (spark.read.text(path, wholetext=True)
             .selectExpr("_metadata.file_name AS filename", "value AS raw_text"))

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from ledgerline.plans.compare import digest
 
 ORACLE = E.oracle_sql()
-# the streaming keys are compared in test_streaming.py
+# test_streaming.py compares the streams with the batch plans
 KEYS = sorted(k for k in ORACLE if not k.startswith("stream_"))
 
 
