@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.sources.tables import read_table
 
-from . import (cascade, decontaminate, language, packing, quality_rules_model, recompression, simhash,
+from . import (best_fit, cascade, decontaminate, language, packing, quality_rules_model, recompression, simhash,
                suffix_dedup, token_count, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents by the weighted lexicon."""
     return toxicity.toxicity(read_table(spark, sf_dir, "documents", "doc_id", "text"),
                              read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+@register
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces packed into few sequences of 4096."""
+    return best_fit.pack(read_table(spark, sf_dir, "documents", "doc_id", "text"))
