@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.sources.tables import read_table
 
-from . import (best_fit, cascade, decontaminate, language, packing, quality_rules_model, recompression, simhash,
+from . import (best_fit, cascade, conversation, decontaminate, language, packing, quality_rules_model, recompression, simhash,
                suffix_dedup, token_count, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                              read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+@register
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations, after the damage."""
+    return conversation.repair(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 @register
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token pieces packed into few sequences of 4096."""
