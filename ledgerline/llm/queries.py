@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.sources.tables import read_table
 
-from . import (best_fit, cascade, conversation, decontaminate, language, packing, quality_rules_model, recompression, simhash,
+from . import (best_fit, cascade, collocations, conversation, decontaminate, language, packing, quality_rules_model, recompression, simhash,
                suffix_dedup, token_count, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+@register
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two and three words of each language."""
+    return collocations.mine(read_table(spark, sf_dir, "documents", "text", "lang"))
+
+
+ORACLES["op12_collocations"] = collocations.ORACLE
+
+
 @register
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token pieces packed into few sequences of 4096."""
