@@ -41,14 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import give_back, mix64, written
 
 MAX_WORDS = 3
 LEAST = 10
 TOP = 2000
 SHARD_BYTES = 5 << 19        # under 2^21 words
 SLICE = 1 << 20
-RANGE = 1 << 20              # paths of a prefix range, about
+RANGE = 1 << 19              # paths of a prefix range, about
 FAN = 2048                   # transducers united at once
 SAMPLE = 200_000             # n-grams that bounds are taken from
 FILTER_BITS = (1 << 15, 1 << 30)
@@ -77,6 +77,32 @@ def distinct_rows(ids: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray
     return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
 
 
+def frozen_states(first: np.ndarray, size: np.ndarray, labels: np.ndarray, weights: np.ndarray,
+                  targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state of each, which are new): the states whose arcs begin at ``first``,
+    in their order; one with the arcs of an earlier one becomes that one.
+    Equal arcs are found by a hash and then compared."""
+    arcs = mix64(labels.astype(np.uint64) + mix64(weights.astype(np.uint64) + mix64(targets.astype(np.uint64))))
+    place = (np.arange(len(labels)) - np.repeat(first, size)).astype(np.uint64)
+    key = np.add.reduceat(arcs * (place * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15)), first)
+    _, earliest, same = np.unique(key, return_index=True, return_inverse=True)
+    twin = earliest[same]
+    equal = size[twin] == size
+    row = np.repeat(np.arange(len(first)), np.where(equal, size, 0))
+    at = np.flatnonzero(np.repeat(equal, size))
+    other = first[twin][row] + place[at].astype(np.int64)
+    differs = (labels[at] != labels[other]) | (weights[at] != weights[other]) | (targets[at] != targets[other])
+    equal[row[differs]] = False
+    twin = np.where(equal, twin, np.arange(len(first)))
+    new = twin == np.arange(len(first))
+    return (np.cumsum(new) - 1)[twin].astype(np.int32), new
+
+
+def small(numbers: np.ndarray) -> np.ndarray:
+    """Non-negative numbers in as few bytes as hold them."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max()) if len(numbers) else 0))
+
+
 class Transducer:
     """A minimal acyclic automaton over words, all paths of one length, with
     weights. ``words`` are sorted and are the labels; ``levels[d]`` are the
@@ -87,34 +113,35 @@ class Transducer:
         self.words, self.levels = words, levels
 
     @staticmethod
-    def build(words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> "Transducer":
+    def build(words: list[bytes] | pa.Array, ids: np.ndarray, counts: np.ndarray) -> "Transducer":
         """From sorted different n-grams (rows of ``ids``)."""
-        used = np.unique(ids)
-        labels = np.searchsorted(used, ids).astype(np.int32)
+        used = np.zeros(len(words), bool)
+        for c in range(ids.shape[1]):
+            used[ids[:, c]] = True
+        number = (np.cumsum(used) - 1).astype(np.int32)
+        labels = [number[ids[:, c]] for c in range(ids.shape[1])]
         weights, targets = counts.astype(np.int64), np.zeros(len(ids), np.int32)
+        begins = np.zeros(len(ids), bool)                # where a new prefix begins, for each length of it
+        begins[0] = True
+        prefixes = [begins.copy()]
+        for column in labels[:-1]:
+            begins[1:] |= column[1:] != column[:-1]
+            prefixes.append(begins.copy())
         levels = []
-        for depth in range(ids.shape[1] - 1, -1, -1):
-            new = (labels[1:, :depth] != labels[:-1, :depth]).any(axis=1) if depth else np.zeros(len(labels) - 1, bool)
-            first = np.flatnonzero(np.concatenate([[True], new]))
-            least = np.minimum.reduceat(weights, first)
-            rest = weights - np.repeat(least, np.diff(np.append(first, len(labels))))
-            register: dict[tuple, int] = {}
-            starts, keep = [], []
-            state = np.zeros(len(first), np.int32)
-            last = labels[:, depth]
-            for s, (lo, hi) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(labels)])):
-                arcs = (last[lo:hi].tobytes(), rest[lo:hi].tobytes(), targets[lo:hi].tobytes())
-                number = register.get(arcs)
-                if number is None:
-                    number = register[arcs] = len(register)
-                    starts.append(hi - lo)
-                    keep.append((lo, hi))
-                state[s] = number
-            of = np.concatenate([np.arange(lo, hi) for lo, hi in keep])
-            levels.append((np.concatenate([[0], np.cumsum(starts)]), last[of],
-                           rest[of] if depth else weights[of], targets[of]))
-            labels, weights, targets = labels[first], least, state
-        return Transducer([words[i] for i in used.tolist()], levels[::-1])
+        for depth in range(len(labels) - 1, -1, -1):
+            first = np.flatnonzero(prefixes[depth])
+            size = np.diff(np.append(first, len(weights)))
+            least = np.minimum.reduceat(weights, first) if depth else np.zeros(1, np.int64)
+            rest = weights - np.repeat(least, size)
+            state, frozen = frozen_states(first, size, labels[depth], rest, targets)
+            arcs = np.flatnonzero(np.repeat(frozen, size))
+            levels.append((np.concatenate([[0], np.cumsum(size[frozen])]), labels[depth][arcs], rest[arcs], targets[arcs]))
+            prefixes = [p[first] for p in prefixes[:depth]]
+            labels = [c[first] for c in labels[:depth]]
+            weights, targets = least, state
+        kept = np.flatnonzero(used)
+        kept = words.take(pa.array(kept)).to_pylist() if isinstance(words, pa.Array) else [words[i] for i in kept.tolist()]
+        return Transducer(kept, levels[::-1])
 
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
         """All n-grams in order (rows of word numbers) and their counts."""
@@ -138,7 +165,7 @@ class Transducer:
     def weights(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
         """The weight here of each n-gram of ``ids`` (over ``words``), 0 if it is no path."""
         known = pc.index_in(pa.array(words, pa.binary()), value_set=pa.array(self.words, pa.binary()))
-        label = np.array(known.fill_null(-1))
+        label = np.array(known.fill_null(-1)).astype(np.int64)
         state, weight = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         alive = np.ones(len(ids), bool) if self.levels else np.zeros(len(ids), bool)
         n = max(1, len(self.words))
@@ -159,21 +186,25 @@ class Transducer:
         parts = [p for p in parts if p.levels]
         if not parts:
             return EMPTY
-        words = pa.array([w for p in parts for w in p.words], pa.binary()).unique()
-        words = words.take(pc.sort_indices(words))
-        ids, counts = [], []
+        coded = pa.concat_arrays([pa.array(p.words, pa.binary()) for p in parts]).dictionary_encode()
+        turn = pc.sort_indices(coded.dictionary)
+        words = coded.dictionary.take(turn)
+        label = np.empty(len(words), np.int32)
+        label[np.array(turn)] = np.arange(len(words), dtype=np.int32)
+        label = label[np.array(coded.indices)]
+        ids, counts, at = [], [], 0
         for p in parts:
-            label = np.array(pc.index_in(pa.array(p.words, pa.binary()), value_set=words))
             i, c = p.paths()
-            ids.append(label[i])
+            ids.append(label[at:at + len(p.words)][i])
             counts.append(c)
+            at += len(p.words)
         rows, counts = np.concatenate(ids), np.concatenate(counts)
         order, first = distinct_rows(rows, len(words))
         counts = np.add.reduceat(counts[order], first)
         keep = counts >= least
         if not keep.any():
             return EMPTY
-        return Transducer.build(words.to_pylist(), rows[order][first][keep], counts[keep])
+        return Transducer.build(words, rows[order[first[keep]]], counts[keep])
 
     def cut(self, bounds: list[tuple[bytes, ...]]) -> Iterator[tuple[int, "Transducer"]]:
         """(range, the paths inside it) of each range that has some; bound k is
@@ -193,12 +224,14 @@ class Transducer:
         return [b" ".join(self.words[i] for i in r) for r in (ids if rows is None else ids[rows]).tolist()]
 
     def to_bytes(self) -> bytes:
-        return pickle.dumps((b"\n".join(self.words), self.levels), protocol=5)
+        return pickle.dumps((b"\n".join(self.words), [tuple(map(small, level)) for level in self.levels]), protocol=5)
 
     @staticmethod
     def of(blob: bytes) -> "Transducer":
         words, levels = pickle.loads(blob)
-        return Transducer(words.split(b"\n") if levels else [], levels)
+        return Transducer(words.split(b"\n") if levels else [],
+                          [(s.astype(np.int64), a.astype(np.int32), w.astype(np.int64), t.astype(np.int32))
+                           for s, a, w, t in levels])
 
 
 EMPTY = Transducer([], [])
@@ -237,37 +270,65 @@ def row_hashes(word_hash: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def shard(body: bytes, order: int, lang: str, known: Filter | None) -> tuple[Transducer, int]:
+def split_words(body: bytes) -> pa.Array:
+    """The words of ``body``, which has no white space but blanks."""
+    text = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, len(body)], np.int32)), pa.py_buffer(body)])
+    words = pc.ascii_split_whitespace(text).values.cast(pa.binary())
+    return words.filter(pc.greater(pc.binary_length(words), 0))
+
+
+def shard(body: bytes, order: int, lang: str, known: Filter | None) -> tuple[Transducer, int, int, list[bytes]]:
     """The transducer of the n-grams of ``order`` words inside the pieces of
-    ``body``, and the number of its words. ``known`` says which n-grams one
-    word shorter may be frequent."""
-    coded = pa.array(body.split(), pa.binary()).dictionary_encode()
+    ``body``, the numbers of its words and of its
+    paths, and some of the n-grams. ``known`` says
+    which n-grams one word shorter may be frequent."""
+    coded = split_words(body).dictionary_encode()
     if not len(coded):
-        return EMPTY, 0
+        return EMPTY, 0, 0, []
     turn = pc.sort_indices(coded.dictionary)
-    words = coded.dictionary.take(turn).to_pylist()
-    rank = np.empty(len(words), np.int64)
-    rank[np.array(turn)] = np.arange(len(words))
+    words = coded.dictionary.take(turn)
+    rank = np.empty(len(words), np.int32)
+    rank[np.array(turn)] = np.arange(len(words), dtype=np.int32)
     ids = rank[np.array(coded.indices)]
-    mark = bisect_left(words, END)
-    inside = ids != mark if mark < len(words) and words[mark] == END else np.ones(len(ids), bool)
+    mark = pc.index(words, END).as_py()
+    inside = ids != mark
     n_words = int(inside.sum())
     n = len(ids) - order + 1
-    if n <= 0:
-        return EMPTY, n_words
-    ok = np.ones(n, bool)
-    for k in range(order):
-        ok &= inside[k:n + k]
-    if known is not None and order > 1:
-        hashes = word_hashes(words, lang)
-        shorter = known.holds(row_hashes(hashes, [ids[k:n + 1 + k] for k in range(order - 1)]))
-        ok &= shorter[:-1] & shorter[1:]
-    at = np.flatnonzero(ok)
-    if not len(at):
-        return EMPTY, n_words
-    rows = np.column_stack([ids[at + k] for k in range(order)])
-    turn, first = distinct_rows(rows, len(words))
-    return Transducer.build(words, rows[turn[first]], np.diff(np.append(first, len(turn)))), n_words
+    if order == 1:
+        counts = np.bincount(ids, minlength=len(words))
+        if mark >= 0:
+            counts[mark] = 0
+        rows = np.flatnonzero(counts)
+        counts = counts[rows]
+        rows = rows.astype(np.int32).reshape(-1, 1)
+    elif n <= 0:
+        return EMPTY, n_words, 0, []
+    else:
+        if known is None:
+            ok = np.ones(n, bool)
+        elif order == 2:
+            one = known.holds(row_hashes(word_hashes(words.to_pylist(), lang), [np.arange(len(words))]))[ids]
+            ok = one[:-1] & one[1:]
+        else:
+            hashes = word_hashes(words.to_pylist(), lang)
+            ok = inside[:n].copy()
+            for k in range(1, order):
+                ok &= inside[k:n + k]
+            at = np.flatnonzero(ok)
+            ok[at] = known.holds(row_hashes(hashes, [ids[at + k] for k in range(order - 1)]))
+            at = np.flatnonzero(ok)
+            ok[at] = known.holds(row_hashes(hashes, [ids[at + k] for k in range(1, order)]))
+        for k in range(order):
+            ok &= inside[k:n + k]
+        at = np.flatnonzero(ok)
+        rows = np.column_stack([ids[at + k] for k in range(order)])
+        turn, first = distinct_rows(rows, len(words))
+        rows, counts = rows[turn[first]], np.diff(np.append(first, len(turn)))
+    if not len(rows):
+        return EMPTY, n_words, 0, []
+    some = np.unique(np.linspace(0, len(rows) - 1, min(64, len(rows))).astype(np.int64))
+    heads = [b" ".join(words[i].as_py() for i in r) for r in rows[some].tolist()]
+    return Transducer.build(words, rows, counts), n_words, len(rows), heads
 
 
 def shards(docs: DataFrame, order: int, known, shard_bytes: int) -> DataFrame:
@@ -280,16 +341,15 @@ def shards(docs: DataFrame, order: int, known, shard_bytes: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number
+            give_back()
             for lang, bodies in held.items():
-                t, n_words = shard(b"".join(bodies), order, lang, filter_)
+                t, n_words, n_paths, heads = shard(b"".join(bodies), order, lang, filter_)
                 if not n_words:
                     continue
-                ids, _ = t.paths() if t.levels else (np.zeros((0, order)), None)
-                some = np.unique(np.linspace(0, len(ids) - 1, min(64, len(ids))).astype(np.int64))
                 yield pa.RecordBatch.from_pydict({
                     "lang": pa.array([lang], pa.string()), "shard": pa.array([task << 32 | number], pa.int64()),
-                    "n_words": pa.array([n_words], pa.int64()), "n_paths": pa.array([len(ids)], pa.int64()),
-                    "heads": pa.array([t.phrases(some) if len(some) else []], pa.list_(pa.binary())),
+                    "n_words": pa.array([n_words], pa.int64()), "n_paths": pa.array([n_paths], pa.int64()),
+                    "heads": pa.array([heads], pa.list_(pa.binary())),
                     "blob": pa.array([t.to_bytes()], pa.binary())})
                 number += 1
 
@@ -313,6 +373,7 @@ def shards(docs: DataFrame, order: int, known, shard_bytes: int) -> DataFrame:
                 if lang in held:
                     held[lang].append(b" . ")
         yield from flush()
+        give_back()
     return docs.mapInArrow(run, "lang string, shard long, n_words long, n_paths long, heads array<binary>, blob binary")
 
 
@@ -364,6 +425,7 @@ def united(cut: DataFrame, n_shards: int, least: int, fan: int) -> DataFrame:
     def union(at_least: int, last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             t = Transducer.union([Transducer.of(b) for b in pdf["blob"]], at_least)
+            give_back()
             out = {"lang": pdf["lang"].iloc[:1], "range": pdf["range"].iloc[:1], "shard": pdf["shard"].iloc[:1],
                    "n_paths": len(t.paths()[0]) if t.levels else 0, "blob": t.to_bytes()}
             return pd.DataFrame(out)[["lang", "range", "n_paths" if last else "shard", "blob"]]
@@ -536,7 +598,8 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
          regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                '[.,;:!?
--]') AS parts FROM documents),
+-
+]') AS parts FROM documents),
 piece AS (SELECT lang, regexp_extract_all(unnest(parts), '[^ 	]+') AS w FROM pieces),
 n_words AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang),
 grams AS (

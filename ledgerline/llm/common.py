@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +42,42 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices of Arrow batches, so that few texts are Python objects at once."""
+def give_back() -> None:
+    """Hand memory that is free, but kept by a worker's allocators, back to the
+    system: workers are used again for other tasks, and an executor counts all
+    its workers hold."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):                # not glibc
+        return None
+
+
+_TRIM = _trim()
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, of at most ``rows`` rows and about ``size``
+    bytes of strings (a longer single text is a slice of its own), so that few
+    texts are Python objects at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        width = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                width += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        end = np.cumsum(width)
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(end, end[at] - width[at] + size, side="right"))
+            to = min(max(to, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
+        give_back()
 
 
 def map_texts(docs: DataFrame, per_batch: Callable[[list, list], dict], schema: str) -> DataFrame:
