@@ -12,10 +12,11 @@ each suffix how much it shares with its neighbour in the order.
 Before that, equal contexts are merged: a context that occurs twice is repeated
 as a whole, and only one of its copies goes into a shard (as a partner for
 others). Anchors that occur once, or whose contexts are all equal and repeated,
-need no shard. An anchor with more than ``HOT`` different contexts is dealt
-over several shards; each of these reports one representative for each
-different string, and equal representatives of different shards are merged by
-their fingerprints, so no anchor has to fit into one task.
+need no shard. An anchor with more than ``HOT`` different contexts is replaced
+by narrower ones: its strings are grouped by their distance to it, and a group
+is named by the bytes all its strings share. Groups inside a common text become
+equal contexts and merge, groups outside it lose their partners; what is open is
+narrowed again, down to single strings, so no anchor has to fit into one task.
 
 Defined results: null texts count as empty; matches never cross documents;
 repeated rows repeat each other, also with equal ids; a null doc_id is an id
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as an
-from .common import mix64, pieces, texts, written
+from .common import give_back, mix64, pieces, texts, written
 
 LENGTH = 200
 GRAM = 32
@@ -219,9 +221,8 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, room: np.ndarray) -> tuple
     return before, np.where(follows, plcp[base] - (p - base), plcp)
 
 
-def repeated_strings(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all ``length``-byte strings inside the bodies: (body, offset,
-    repeated, is the representative of its equal ones)."""
+def repeated_strings(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all ``length``-byte strings inside the bodies: (body, offset, repeated)."""
     sizes = np.array([len(b) for b in bodies], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
     raw = np.frombuffer(b"\x00".join(bodies) + b"\x00", np.uint8).astype(np.int64) + 2
@@ -236,7 +237,7 @@ def repeated_strings(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.n
     again = joined.copy()
     again[before[joined]] = True
     valid = np.flatnonzero(room >= length)
-    return body[valid], valid - starts[body[valid]], again[valid], ~joined[valid]
+    return body[valid], valid - starts[body[valid]], again[valid]
 
 
 # ---------------------------------------------------------------- in Spark
@@ -282,59 +283,112 @@ def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def context_bodies(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """The bytes of each place (id, th, lo, cnt, name, shard, split, alone)."""
-    per_doc = places.groupBy("id", "th").agg(
-        F.collect_list(F.struct("lo", "cnt", "shard", "split", "alone")).alias("spans"))
+    """The bytes of each place (id, th, lo, cnt, name, alone)."""
+    per_doc = places.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "cnt", "name", "alone")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            for i, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())):
-                raw = text.encode("utf-8")
+            for i, (text, spans) in enumerate(zip(batch.column("text"), batch.column("spans").to_pylist())):
+                raw = text.as_py().encode("utf-8")
                 n = len(spans)
                 yield pa.RecordBatch.from_pydict({
                     "id": pa.array([batch.column("id")[i].as_py()] * n, pa.int64()),
                     "th": pa.array([batch.column("th")[i].as_py()] * n, pa.int64()),
                     "lo": pa.array([s["lo"] for s in spans], pa.int32()),
-                    "shard": pa.array([s["shard"] for s in spans], pa.int64()),
-                    "split": pa.array([s["split"] for s in spans], pa.bool_()),
+                    "name": pa.array([s["name"] for s in spans], pa.int64()),
                     "alone": pa.array([s["alone"] for s in spans], pa.bool_()),
                     "body": pa.array([raw[s["lo"]:s["lo"] + s["cnt"] - 1 + length] for s in spans], pa.binary())})
     return (docs.join(per_doc, ["id", "th"]).select("id", "th", "text", "spans").mapInArrow(
-        run, "id long, th long, lo int, shard long, split boolean, alone boolean, body binary"))
+        run, "id long, th long, lo int, name long, alone boolean, body binary"))
 
 
 def solve_shards(bodies: DataFrame, length: int) -> DataFrame:
-    """(id, th, lo, hi, print): ranges of strings repeated inside a shard
-    (print null), and representatives of the strings of split anchors."""
+    """(id, th, lo, hi): ranges of strings repeated inside a shard."""
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["id", "th", "lo"]).sort_values(["id", "th", "lo"], ignore_index=True)
-        body, offset, again, rep = repeated_strings(pdf["body"].tolist(), length)
+        pdf = pdf.drop_duplicates(["id", "th", "lo", "name"]).sort_values(["id", "th", "lo", "name"], ignore_index=True)
+        body, offset, again = repeated_strings(pdf["body"].tolist(), length)
         at = pdf["lo"].to_numpy()[body] + offset
-        out = []
         hit = again & pdf["alone"].to_numpy(bool)[body]
-        if hit.any():
-            b, x = body[hit], at[hit]
-            first = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (x[1:] != x[:-1] + 1)]))
-            last = np.append(first[1:] - 1, len(x) - 1)
-            out.append(pd.DataFrame({"id": pdf["id"].to_numpy()[b[first]], "th": pdf["th"].to_numpy()[b[first]],
-                                     "lo": x[first], "hi": x[last] + length, "print": pd.NA}))
-        open_ = rep & pdf["split"].to_numpy(bool)[body]
-        if open_.any():
-            prints = np.zeros(len(body), np.uint64)
-            for k in np.unique(body[open_]):
-                mine = body == k
-                raw = np.frombuffer(pdf["body"][k], np.uint8).astype(np.uint64) + np.uint64(1)
-                prints[mine] = an.Prefix(raw).fixed(length)[offset[mine]]
-            b = body[open_]
-            out.append(pd.DataFrame({"id": pdf["id"].to_numpy()[b], "th": pdf["th"].to_numpy()[b], "lo": at[open_],
-                                     "hi": at[open_] + length, "print": prints[open_].view(np.int64)}))
-        frame = pd.concat(out) if out else pd.DataFrame(columns=["id", "th", "lo", "hi", "print"])
-        return frame.astype({"id": "int64", "th": "int64", "lo": "int32", "hi": "int32", "print": "Int64"})
-
-    return bodies.groupBy("shard").applyInPandas(solve, "id long, th long, lo int, hi int, print long")
-
-
-def repeated_ranges(docs: DataFrame, found: DataFrame, length: int, shard_bytes: int, hot: int) -> DataFrame:
+        b, x = body[hit], at[hit]
+        first = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (x[1:] != x[:-1] + 1)])[:len(b)])
+        last = np.append(first[1:], len(x))[:len(first)] - 1
+        out = pd.DataFrame({"id": pdf["id"].to_numpy()[b[first]], "th": pdf["th"].to_numpy()[b[first]],
+                            "lo": x[first], "hi": x[last] + length})
+        give_back()
+        return out.astype({"id": "int64", "th": "int64", "lo": "int32", "hi": "int32"})
+
+    return bodies.groupBy("shard").applyInPandas(solve, "id long, th long, lo int, hi int")
+
+
+def narrower(bodies: DataFrame, length: int, gram: int, width: int) -> DataFrame:
+    """The contexts of anchors, cut into groups of ``width`` strings by their
+    distance to the anchor: (id, th, lo, cnt, off, alone, name, ctx, body).
+
+    The bytes that all strings of a group share are part of each of them, also
+    where a context holds only some of the group: equal strings have equal
+    names. ``off`` is the distance of the first string to the anchor; it is
+    found from the bytes where it is not known yet."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            out: list[tuple] = []
+            for i, (name, lo, off, body) in enumerate(zip(*(batch.column(c).to_pylist()
+                                                            for c in ("name", "lo", "off", "body")))):
+                prefix = an.Prefix(np.frombuffer(body, np.uint8).astype(np.uint64) + np.uint64(1))
+                n = len(body) - length + 1
+                if off is None:
+                    off = int(an.choose(prefix.fixed(gram), length - gram + 1)[0][0])
+                for group in range((off - n + 1) // width, off // width + 1):
+                    first = max(0, off - group * width - width + 1)          # strings of this group
+                    last = min(n - 1, off - group * width)
+                    share = off - group * width                              # shared bytes: from here ...
+                    core = prefix.of(np.array([share]), np.array([share - width + 1 + length]))[0]
+                    out.append((i, lo + first, last - first + 1, off - first, name, group, core, body[first:last + length]))
+            if not out:
+                continue
+            of, lo, cnt, off, name, group, core, body = zip(*out)
+            names = mix64(np.array(name, np.int64).view(np.uint64) + mix64(
+                np.array(core, np.uint64) + np.array(group, np.int64).view(np.uint64) * an.BASE + np.uint64(width)))
+            prints = np.array([an.Prefix(np.frombuffer(b, np.uint8).astype(np.uint64) + np.uint64(1))
+                               .of(np.array([0]), np.array([len(b)]))[0] for b in body], np.uint64)
+            ctx = mix64(prints + np.array(off, np.uint64) * an.BASE + np.array(cnt, np.uint64))
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(at) for c in ("id", "th", "alone")} | {
+                "lo": pa.array(lo, pa.int32()), "cnt": pa.array(cnt, pa.int32()), "off": pa.array(off, pa.int32()),
+                "name": pa.array(names.view(np.int64)), "ctx": pa.array(ctx.view(np.int64)),
+                "body": pa.array(body, pa.binary())}).select(
+                    ["id", "th", "lo", "cnt", "off", "alone", "name", "ctx", "body"])
+    return bodies.select("id", "th", "lo", "name", "alone", "off", "body").mapInArrow(
+        run, "id long, th long, lo int, cnt int, off int, alone boolean, name long, ctx long, body binary")
+
+
+def narrowed(bodies: DataFrame, length: int, gram: int, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(ranges, contexts for shards) of anchors with too many contexts: groups
+    of fewer and fewer strings, until none has more than ``hot`` contexts."""
+    ranges, small = [], []
+    width = length
+    while width > 1:
+        width = -(-width // 4)
+        rows = written(narrower(bodies, length, gram, width), f"narrow-{width}")
+        kinds = written(rows.groupBy("name", "ctx").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "lo", "cnt", "off", "alone", "body")).alias("place")),
+            f"narrow-contexts-{width}")
+        # rows whose whole group of strings has an equal
+        ranges.append(rows.where("alone").join(kinds.where("n > 1").select("name", "ctx"), ["name", "ctx"])
+                      .select("id", "th", "lo", (F.col("lo") + F.col("cnt") - 1 + length).alias("hi")))
+        names = written(kinds.groupBy("name").agg(
+            F.count(F.lit(1)).alias("contexts"), F.max(F.when(F.col("n") == 1, F.col("place.alone"))).alias("open"))
+            .where("contexts > 1 and open"), f"narrow-open-{width}")
+        left = kinds.join(names, "name").select(
+            "place.id", "place.th", "place.lo", "place.off", "name", "contexts",
+            ((F.col("n") == 1) & F.col("place.alone")).alias("alone"), "place.body")
+        small.append(left.where(F.col("contexts") <= hot).drop("contexts", "off"))
+        bodies = left.where(F.col("contexts") > hot).drop("contexts")
+        if names.where(F.col("contexts") > hot).isEmpty():
+            break
+    return ranges, small
+
+
+def repeated_ranges(docs: DataFrame, found: DataFrame, length: int, gram: int, shard_bytes: int, hot: int) -> DataFrame:
     """(id, th, lo, hi): byte ranges covered by repeated strings."""
     rows = written(an.shared(found), "shared-anchors")
     kinds = written(rows.groupBy("name", "ctx").agg(
@@ -343,44 +397,28 @@ def repeated_ranges(docs: DataFrame, found: DataFrame, length: int, shard_bytes:
     whole = (rows.join(kinds.where("n > 1").select("name", "ctx"), ["name", "ctx"])
              .select("id", "th", "lo", (F.col("lo") + F.col("cnt") - 1 + length).alias("hi")))
     mixed = kinds.where("contexts_differ")
-    names = mixed.groupBy("name").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("contexts"),
-                                      F.sum(F.col("place.cnt") + length).alias("bytes")).where("least = 1")
-    names = written(names, "open-anchors")
-    total = names.agg(F.sum("bytes")).first()[0] or 0
-    if not total:
-        return whole
-    shards = max(1, math.ceil(total / shard_bytes))
-    parts = F.ceil(F.col("contexts") / F.lit(hot))
-    salt = F.when(F.col("contexts") > hot, F.pmod(F.col("ctx"), parts)).otherwise(F.lit(0))
-    places = (mixed.join(names, "name")
-              .select("place.*", (F.col("contexts") > hot).alias("split"), (F.col("n") == 1).alias("alone"),
-                      F.pmod(F.xxhash64("name", salt), F.lit(shards)).alias("shard")))
-    solved = written(solve_shards(context_bodies(docs, places, length), length), "solved-shards")
-    inside = solved.where("print is null").select("id", "th", "lo", "hi")
-    open_ = solved.where("print is not null")
-    again = open_.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    if again.isEmpty():
-        return whole.unionByName(inside)
-    # a string that meets itself in another shard: its equals are found by their fingerprints
-    prints = split_prints(docs, places.where("split and alone"), length)
-    across = prints.join(again, "print").select("id", "th", "lo", "hi")
-    return whole.unionByName(inside).unionByName(across)
-
-
-def split_prints(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """(id, th, lo, hi, print) of all strings in the contexts of split anchors."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            for i, t, lo, body in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "lo", "body"))):
-                raw = np.frombuffer(body, np.uint8).astype(np.uint64) + np.uint64(1)
-                prints = an.Prefix(raw).fixed(length)
-                at = (lo + np.arange(len(prints))).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({
-                    "id": pa.array([i] * len(at), pa.int64()), "th": pa.array([t] * len(at), pa.int64()),
-                    "lo": pa.array(at), "hi": pa.array(at + np.int32(length)),
-                    "print": pa.array(prints.view(np.int64))})
-    return context_bodies(docs, places, length).select("id", "th", "lo", "body").mapInArrow(
-        run, "id long, th long, lo int, hi int, print long")
+    names = written(mixed.groupBy("name").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("contexts"))
+                    .where("least = 1"), "open-anchors")
+    columns = ["id", "th", "lo", "name", "alone", "body"]
+
+    def contexts(of: DataFrame) -> DataFrame:
+        places = mixed.join(of, "name").select("place.*", "name", (F.col("n") == 1).alias("alone"))
+        return context_bodies(docs, places, length).select(*columns)
+
+    ranges, bodies = [whole], [contexts(names.where(F.col("contexts") <= hot))]
+    crowded = names.where(F.col("contexts") > hot)
+    if not crowded.isEmpty():
+        first = written(contexts(crowded).withColumn("off", F.lit(None).cast("int")), "crowded-contexts")
+        more, small = narrowed(first, length, gram, hot)
+        ranges += more
+        bodies += [b.select(*columns) for b in small]
+    bodies = written(reduce(DataFrame.unionByName, bodies), "shard-contexts")
+    size = bodies.agg(F.sum(F.length("body"))).first()[0] or 0
+    if size:
+        shards = max(1, math.ceil(size / shard_bytes))
+        ranges.append(written(solve_shards(bodies.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards))), length),
+                              "solved-shards"))
+    return reduce(DataFrame.unionByName, ranges)
 
 
 def cut(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -411,7 +449,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
             .withColumn("id", F.coalesce("doc_id", F.lit(LAST))))
     scanned = written(scan(docs, length, gram), "byte-anchors")
     ranges = repeated_ranges(docs, scanned.where("name is not null").drop("doc_id", "n_bytes", "digest"),
-                             length, shard_bytes, hot)
+                             length, gram, shard_bytes, hot)
     changed = cut(docs, ranges).dropDuplicates(["id", "th"])
     zero = F.lit(0).cast("long")
     return (scanned.where("name is null").select("doc_id", "id", "th", "n_bytes", "digest")
@@ -429,7 +467,7 @@ def rewrite(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes
             .withColumn("id", F.coalesce("doc_id", F.lit(LAST))))
     found = written(scan(body, length, gram).where("name is not null").drop("doc_id", "n_bytes", "digest"),
                     "byte-anchors")
-    ranges = repeated_ranges(body, found, length, shard_bytes, hot)
+    ranges = repeated_ranges(body, found, length, gram, shard_bytes, hot)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

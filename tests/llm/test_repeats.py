@@ -79,6 +79,27 @@ def test_byte_strings(spark, rows, hot, shard_bytes):
     assert sorted(repr(tuple(r)) for r in got) == brute_bytes(rows)
 
 
+def test_a_line_common_to_very_many_texts(spark):
+    """More contexts around one line than a shard may take of an anchor, by the
+    default bound; borders agree by chance, and some texts go on alike."""
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(224))
+    letters = "xy"
+    rows = []
+    for i in range(suffix_dedup.HOT + 300):
+        front, back = ("".join(rng.choice(letters) for _ in range(rng.randrange(20, 260))) for _ in range(2))
+        rows.append((i, front + line + back))
+    rows += [(9000 + k, "left " + line[:150] + "x" * 60) for k in range(3)] + [(9100, rows[5][1][30:] + "q")]
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).drop("kept").collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute_bytes(rows)
+
+
+def test_narrower_anchors_lose_no_string(spark, rows):
+    """Groups of every width, from the first anchor on."""
+    got = suffix_dedup.remove_repeats(frame(spark, rows), hot=0).drop("kept").collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute_bytes(rows)
+
+
 def test_rewrite_keeps_columns_and_drops_broken_characters(spark):
     tail = "é" * 150
     docs = frame(spark, [(1, "xa" + tail), (2, "yb" + tail + "ñ"), (3, "unique"), (4, None)])
