@@ -9,8 +9,13 @@ every text
    the exact index),
 2. hits are counted in overlapping diagonal bands, each passage with bands wide
    enough for its k, so that any k + 1 neighbouring diagonals lie in one band,
-3. regions whose count meets the bound are verified by a banded alignment of
-   the whole passage against the region.
+3. regions whose count meets the bound are verified by an alignment of the
+   whole passage inside the band's diagonals.
+
+A run of one sign would meet every place of such a run in a passage. Its
+q-grams have no postings: how many pairs lie on a diagonal follows from where
+the two runs begin and end. All other hits are expanded in slices of bounded
+size, of which only the counts by band are kept.
 
 Case and runs of white space do not count. k is ``EDITS`` of the passage's
 length; a passage too short for the bound gets the largest k that keeps it at
@@ -41,6 +46,7 @@ EDITS = 0.1
 BLOCK_CHARS = 1 << 19        # passages' characters in one index
 TEXT_BLOCK = 1 << 20         # characters of a text looked at together
 BITMAP_BITS = 24
+HITS = 1 << 19               # postings expanded at once
 
 
 def normal(text: str | None) -> str:
@@ -61,6 +67,16 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
+def sign_runs(codes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(sign, first, last + 1) of the q-grams inside runs of one sign."""
+    if len(codes) < Q:
+        return []
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    size = np.diff(np.append(first, len(codes)))
+    long_ = size >= Q
+    return [(int(codes[a]), a, a + n - Q + 1) for a, n in zip(first[long_].tolist(), size[long_].tolist())]
+
+
 class Index:
     """q-gram postings of a block of passages."""
 
@@ -72,11 +88,18 @@ class Index:
         self.bound = np.maximum(1, self.size - Q + 1 - self.k * Q)
         self.width = self.k + 1                      # a band spans two widths, the next starts one later
         grams, item, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        self.runs: dict[int, list[tuple[int, int, int]]] = {}        # sign -> (passage, first and last + 1 q-gram)
         for n, (_, t) in enumerate(self.items):
-            h = gram_hashes(codes_of(t))
-            grams.append(h)
-            item.append(np.full(len(h), n))
-            at.append(np.arange(len(h)))
+            codes = codes_of(t)
+            h = gram_hashes(codes)
+            plain = np.ones(len(h), bool)
+            for sign, lo, hi in sign_runs(codes):
+                self.runs.setdefault(sign, []).append((n, lo, hi))
+                plain[lo:hi] = False
+            where = np.flatnonzero(plain)
+            grams.append(h[where])
+            item.append(np.full(len(where), n))
+            at.append(where)
         grams, item, at = map(np.concatenate, (grams, item, at))
         order = np.argsort(grams, kind="stable")
         self.grams, self.first, count = np.unique(grams[order], return_index=True, return_counts=True)
@@ -85,34 +108,51 @@ class Index:
         self.bitmap[self.grams >> np.uint64(64 - BITMAP_BITS)] = True
         self.longest = int(self.size.max()) if len(self.items) else 0
 
-    def regions(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
-        """(passage, start, end) of the regions that meet their bound."""
+    def bands(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passage, band, hits) of the q-grams that meet, in parts; a band and
+        the one after it make up what is counted together."""
         h = gram_hashes(codes)
-        hit = np.flatnonzero(self.bitmap[h >> np.uint64(64 - BITMAP_BITS)])
-        if not len(hit) or not len(self.grams):
+        hit = np.flatnonzero(self.bitmap[h >> np.uint64(64 - BITMAP_BITS)]) if len(self.grams) else np.empty(0, np.int64)
+        if len(hit):
+            slot = np.minimum(np.searchsorted(self.grams, h[hit]), len(self.grams) - 1)
+            true = self.grams[slot] == h[hit]
+            hit, slot = hit[true], slot[true]
+            end = np.cumsum(self.count[slot])
+            lo = 0
+            while lo < len(hit):
+                done = end[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(end, done + HITS, side="right")))
+                count = self.count[slot[lo:hi]]
+                post = np.repeat(self.first[slot[lo:hi]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                item = self.item[post]
+                band = (np.repeat(hit[lo:hi], count) - self.at[post] + self.longest) // self.width[item]
+                pair, n = np.unique(item << 40 | band, return_counts=True)
+                yield pair >> 40, pair & ((1 << 40) - 1), n
+                lo = hi
+        if self.runs:
+            for sign, lo, hi in sign_runs(codes):
+                for n, first, last in self.runs.get(sign, ()):
+                    diagonal = np.arange(lo - last + 1, hi - first)
+                    pairs = np.minimum(hi, last + diagonal) - np.maximum(lo, first + diagonal)
+                    band = (diagonal + self.longest) // int(self.width[n])
+                    start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+                    yield np.full(len(start), n), band[start], np.add.reduceat(pairs, start)
+
+    def regions(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """(passage, lowest diagonal) of the bands that meet their bound."""
+        parts = list(self.bands(codes))
+        if not parts:
             return []
-        slot = np.minimum(np.searchsorted(self.grams, h[hit]), len(self.grams) - 1)
-        true = self.grams[slot] == h[hit]
-        hit, slot = hit[true], slot[true]
-        if not len(hit):
-            return []
-        count = self.count[slot]
-        post = np.repeat(self.first[slot] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        item = self.item[post]
-        band = (np.repeat(hit, count) - self.at[post] + self.longest) // self.width[item]
-        most = int(band.max()) + 2
-        key = np.concatenate([item * most + band, item * most + np.maximum(band - 1, 0)])
-        key.sort()
+        item, band, n = (np.concatenate(c) for c in zip(*parts))
+        key = np.concatenate([item << 40 | band, item << 40 | np.maximum(band - 1, 0)])
+        n = np.concatenate([n, np.where(band > 0, n, 0)])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.append(first, len(key)))
-        which, band = key[first] // most, key[first] % most
+        n = np.add.reduceat(n, first)
+        which, band = key[first] >> 40, key[first] & ((1 << 40) - 1)
         good = n >= self.bound[which]
-        out = []
-        for w, b in zip(which[good].tolist(), band[good].tolist()):
-            low = b * int(self.width[w]) - self.longest       # lowest diagonal of the band
-            start, end = max(0, low), low + 2 * int(self.width[w]) + int(self.size[w] + self.k[w])
-            out.append((w, start, min(len(codes), end)))
-        return out
+        return list(zip(which[good].tolist(), (band[good] * self.width[which[good]] - self.longest).tolist()))
 
     def matches(self, text: str | None) -> list[tuple[int, int]]:
         """(item_id, least edits found) for each passage within its budget."""
@@ -124,35 +164,42 @@ class Index:
             part = body[at:at + step + reach]
             if len(part) < Q:
                 continue
-            for n, start, end in self.regions(codes_of(part)):
+            codes = codes_of(part)
+            seen: set[tuple] = set()                     # long runs make very many equal regions
+            for n, low in self.regions(codes):
                 if found.get(n) == 0:
                     continue
-                passage, region = self.items[n][1], part[start:end]
-                d = 0 if passage in region else banded_edits(passage, region, int(self.k[n]))
+                width, k = int(self.width[n]), int(self.k[n])
+                passage = self.items[n][1]
+                region = part[max(0, low):max(0, low + 2 * width + len(passage))]
+                if (n, min(0, low), region) in seen:
+                    continue
+                seen.add((n, min(0, low), region))
+                d = 0 if passage in region else banded_edits(codes_of(passage), codes, low, 2 * width, k)
                 if d is not None and d < found.get(n, d + 1):
                     found[n] = d
         return sorted((self.items[n][0], d) for n, d in found.items())
 
 
-def banded_edits(passage: str, region: str, k: int) -> int | None:
-    """Fewest edits of the whole passage against any part of the region, or
-    None above k. The region is one diagonal band with its margins, so every
-    row of the alignment is as wide as the region; cells beyond the budget are
-    cut off, and the rows end when none is left."""
-    a, b = codes_of(passage), codes_of(region)
-    if not len(b):
-        return None
-    cols = np.arange(len(b) + 1)
-    row = np.zeros(len(b) + 1, np.int64)                   # a match may start anywhere
-    for i, c in enumerate(a.tolist(), start=1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (b != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - cols) + cols     # insertions along the row
+def banded_edits(passage: np.ndarray, text: np.ndarray, low: int, width: int, k: int) -> int | None:
+    """Fewest edits of the whole passage against any part of the text, on the
+    ``width`` diagonals from ``low`` on, or None above k. A row has one cell for
+    each diagonal; the rows end when no cell is within the budget."""
+    # places in front of and behind the text match nothing, which is as good as leaving the passage's sign out
+    none = np.uint32(0xFFFFFFFF)
+    lead = max(0, -low)
+    span = text[max(0, low):max(0, low + len(passage) + width)]
+    b = np.full(len(passage) + width, none, np.uint32)
+    b[lead:lead + len(span)] = span[:max(0, len(b) - lead)]
+    place = np.arange(width)
+    row = np.zeros(width, np.int64)                        # a match may start on any diagonal
+    for i, c in enumerate(passage.tolist()):
+        new = row + (b[i:i + width] != c)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)       # the passage's sign left out
+        row = np.minimum.accumulate(new - place) + place   # signs of the text left out
         if row.min() > k:
             return None
-    best = int(row.min())
-    return best if best <= k else None
+    return int(row.min())
 
 
 def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",

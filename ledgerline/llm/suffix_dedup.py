@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as an
-from .common import give_back, mix64, pieces, texts, written
+from .common import give_back, mix64, pieces, texts, unused, written
 
 LENGTH = 200
 GRAM = 32
@@ -469,17 +469,19 @@ def rewrite(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes
                     "byte-anchors")
     ranges = repeated_ranges(body, found, length, gram, shard_bytes, hot)
 
+    key, digest, text = (unused(docs, c) for c in ("cut_id", "cut_digest", "cut_text"))
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             yield pa.RecordBatch.from_pydict({
-                "_cut_id": batch.column("id"), "_cut_th": batch.column("th"),
-                "_cut_text": pa.array([b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()], pa.string())})
+                key: batch.column("id"), digest: batch.column("th"),
+                text: pa.array([b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()], pa.string())})
 
     changed = (cut(body, ranges).select("id", "th", "kept")
-               .mapInArrow(decode, "_cut_id long, _cut_th long, _cut_text string")
-               .dropDuplicates(["_cut_id", "_cut_th"]))
-    keyed = (docs.withColumn("_cut_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)))
-             .withColumn("_cut_th", F.xxhash64(F.col(f"`{text_col}`").cast("string"))))
-    return (keyed.join(changed, ["_cut_id", "_cut_th"], "left")
-            .withColumn(text_col, F.coalesce("_cut_text", F.col(f"`{text_col}`")))
-            .select(docs.columns))
+               .mapInArrow(decode, f"{key} long, {digest} long, {text} string")
+               .dropDuplicates([key, digest]))
+    keyed = (docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)))
+             .withColumn(digest, F.xxhash64(F.col(f"`{text_col}`").cast("string"))))
+    return (keyed.join(changed, [key, digest], "left")
+            .withColumn(text_col, F.coalesce(F.col(text), F.col(f"`{text_col}`")))
+            .select([F.col(f"`{c}`") for c in docs.columns]))

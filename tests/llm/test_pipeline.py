@@ -52,6 +52,8 @@ def test_stages(spark, small):
     assert single.columns == columns
     named = [r for r in got if r[0] is not None]
     component = brute_components([r[0] for r in named], [brute_fp(r[1]) for r in named])
+    texts = {brute_fp(r[1]) for r in named}
+    assert all(min(bin(brute_fp(r[1]) ^ t).count("1") for t in texts) > 3 for r in got if r[0] is None)
     want = {r for r in named if component[r[0]] == r[0]} | {r for r in got if r[0] is None}
     left = [tuple(r) for r in single.collect()]
     assert sorted(map(repr, left)) == sorted(map(repr, want))
@@ -92,3 +94,29 @@ def test_empty_documents(spark, small, tmp_path):
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Different texts with one id both stay; a copy without an id goes; equal rows go."""
+    a, b, c = ("one two three four five six seven", "eins zwei drei vier acht neun", "uno dos tres cuatro cinco")
+    rows = [(5, a, "x"), (5, b, "x"), (5, b, "x"), (7, a, "y"), (None, c, "x"), (None, c, "x"), (None, a, "z"), (9, c, "x"),
+            (None, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_name string")
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert got.columns == docs.columns
+    left = [tuple(r) for r in got.collect()]
+    assert set(left) <= set(rows) and sorted(str(r[1]) for r in left) == sorted(map(str, [a, b, c, None]))
+    # one of the texts of id 5 has its name, the other is named after all ids
+    assert ((5, b, "x") in left and (9, c, "x") in left) and ((5, a, "x") in left or (7, a, "y") in left)
+
+
+def test_other_columns_may_have_any_name(spark, small):
+    path, rows, _ = small
+    more = "row_name_first", "cut_id", "cut_text", "cut_digest", "id", "th", "spans", "kept"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for c in more:
+        docs = docs.withColumn(c, docs.doc_id + 1)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, path)
+        assert docs.where("doc_id + 1 <> cut_id or cut_text <> th").count() == 0 and set(more) <= set(docs.columns)
+    assert docs.count() > 10

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import re
 from itertools import combinations
 
@@ -25,6 +26,52 @@ def brute_counts(text):
             n < 20 or 100 * rep > 30 * n)
 
 
+def plain_edits(passage, text):
+    """Fewest edits of the passage against any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(passage, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != t), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_runs_of_one_sign_against_brute_force():
+    """Passages and texts with long runs of the same signs, edited."""
+    rng = random.Random(11)
+    passages = ["=" * 30, "head " + "-" * 25 + " foot of it", "ab" * 20, "x" * 12 + "y" * 12, "one plain line of words", "-" * 9]
+    index = decontaminate.Index(list(enumerate(passages)))
+    for _ in range(150):
+        text = []
+        for p in rng.sample(passages, 2):
+            body = list(p)
+            for _ in range(rng.randrange(4)):
+                body[rng.randrange(len(body))] = rng.choice(["", "-", "x", "=", "qq"])
+            text += [*body, *(rng.choice("-=x") * rng.randrange(40)), " "]
+        text = "".join(text)
+        body = decontaminate.normal(text)
+        want = []
+        for n, (i, p) in enumerate(index.items):
+            d = plain_edits(p, body)
+            if d <= index.k[n]:
+                want.append((i, d))
+        assert index.matches(text) == want, text
+
+
+def test_a_run_of_a_million_signs_needs_little_memory():
+    index = decontaminate.Index([(1, "intro " + "-" * 400 + " end"), (2, "plain words of a passage")])
+    parts = "plain words of a passage ", " done"
+    text = ("-" * 1_000_000).join(parts)
+    want = plain_edits(index.items[0][1], ("-" * 900).join(parts))
+    tracemalloc.start()
+    try:
+        assert index.matches(text) == [(1, want), (2, 0)]
+        assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_cascade_counts_and_verdict(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("ab c# dd\n e| ÉÑ f\tg h! 12".split(" ")) for _ in range(rng.choice([5, 30, 120]))))
