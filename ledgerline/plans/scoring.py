@@ -22,13 +22,14 @@ def normalise_currency(inv: DataFrame) -> DataFrame:
 
 def score(inv: DataFrame, vendors: DataFrame, pos: DataFrame,
           policy: Policy = DEFAULT_POLICY, history: DataFrame | None = None,
-          duplicates: DataFrame | bool = True) -> DataFrame:
+          duplicates: DataFrame | bool | None = True) -> DataFrame:
     """Invoices -> every check, flag, gate decision and final status.
 
     ``duplicates``: True computes the 90-day history here (batch); a
     DataFrame of (invoice_id, is_duplicate, duplicate_of,
     duplicate_of_created_at) supplies it from elsewhere (the streaming
-    detector); False scores without a history."""
+    detector); None takes these columns from ``inv``; False scores without a
+    history."""
     inv = invoice_violations(normalise_currency(inv))
     if duplicates is True:
         e = enrich(inv, vendors, pos, policy, history, no_violations())
@@ -37,7 +38,7 @@ def score(inv: DataFrame, vendors: DataFrame, pos: DataFrame,
         if duplicates is False:
             e = e.withColumns({"is_duplicate": F.lit(False), "duplicate_of": F.lit(None).cast("string"),
                                "duplicate_of_created_at": F.lit(None).cast("timestamp_ntz")})
-        else:
+        elif duplicates is not None:
             e = e.join(duplicates, "invoice_id", "left").withColumn(
                 "is_duplicate", F.coalesce(F.col("is_duplicate"), F.lit(False)))
     return govern(analyze(validate(e, policy), policy), policy)
