@@ -97,7 +97,8 @@ def exceptions(df: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 def invoice_violations(inv: DataFrame) -> DataFrame:
-    """B8 on invoices: enum membership, confidence ranges, required fields."""
+    """B8 on invoices: enum membership, confidence ranges, required fields, and
+    what is wrong with their lines (``line_violations``, if that is a column)."""
     in01 = lambda c: F.col(c).between(0.0, 1.0)
     checks = [
         F.when(~F.upper(F.col("currency")).isin(*CURRENCIES), F.lit("currency")),
@@ -109,6 +110,8 @@ def invoice_violations(inv: DataFrame) -> DataFrame:
         checks.append(F.when(F.col("status").isNotNull() & ~F.col("status").isin(*INVOICE_STATUSES),
                              F.lit("status")))
     v = F.array_compact(F.array(*checks))
+    if "line_violations" in inv.columns:
+        v = F.concat(v, F.coalesce("line_violations", F.array().cast("array<string>")))
     return inv.withColumn("violations", v)
 
 
@@ -131,3 +134,21 @@ def line_violations(lines: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFr
         "expected_total": expected,
         "total_mismatch": F.abs(expected - F.col("total")) > F.lit(str(policy.line_tolerance)).cast("decimal(4,2)"),
     })
+
+
+def with_line_violations(inv: DataFrame, lines: DataFrame, key: str = "order_key") -> DataFrame:
+    """B8 on nested records: a record with a bad line is bad. The rules that
+    the lines of a record break (four at most) are one array on each invoice of
+    the record, as ``line.<field>``."""
+    broken = line_violations(lines).select(F.col(key).alias("_key"), F.explode("violations").alias("_rule"))
+    folded = broken.groupBy("_key").agg(
+        F.sort_array(F.collect_set(F.concat(F.lit("line."), F.col("_rule")))).alias("line_violations"))
+    return inv.join(folded, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def quarantine(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be stored, and those that may not with their
+    ``reasons``; ``checked`` comes from ``invoice_violations``."""
+    good = checked.where(no_violations())
+    bad = checked.where(~no_violations()).withColumn("reasons", F.array_join("violations", ","))
+    return good, bad

@@ -13,9 +13,10 @@ from ..operators.review import review_status as _review_status
 from ..policy import CURRENCIES, DEFAULT_POLICY
 from ..sources import domain
 from .catalog import query
-from .oracle_base import DOMAIN, ENRICHED, with_ctes
+from .oracle_base import CHECKS, DOMAIN, ENRICHED, with_ctes
 from .q_review import HD, saved
 from .q_scoring import ALLOWED, STORED, scored, stored
+from .scoring import score
 
 BASE = with_ctes(DOMAIN, ENRICHED)
 
@@ -180,3 +181,44 @@ UNION ALL SELECT invoice_id, 'rejected', 'processing_error' FROM scored WHERE cu
 def batch_with_errors(spark, sf):
     items = report.batch_items(scored(spark, sf), ~G.no_violations())
     return items.select("invoice_id", "status", F.array_join("anomaly_flags", ",").alias("anomaly_flags"))
+
+
+STORABLE = "currency IN ('USD','CAD','EUR','GBP','AUD','JPY','CHF')"
+BAD_LINES = """
+bad_orders AS (
+  SELECT order_key, string_agg(rule, ',' ORDER BY rule) AS rules FROM (
+    SELECT DISTINCT l_orderkey AS order_key, 'line.' || unnest(list_filter([
+      CASE WHEN l_partkey % 41 = 0 OR l_partkey % 43 = 0 OR l_partkey % 47 = 0
+                OR p_name IS NULL OR length(p_name) NOT BETWEEN 1 AND 500 THEN 'description' END,
+      CASE WHEN l_partkey % 53 = 0 OR NOT l_quantity > 0 THEN 'quantity' END,
+      CASE WHEN l_partkey % 59 = 0 THEN 'unit_price' END,
+      CASE WHEN l_partkey % 61 = 0 OR l_extendedprice * (1 - l_discount) < 0 THEN 'total' END], lambda x: x IS NOT NULL)) AS rule
+    FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)
+  GROUP BY order_key)"""
+# as the scored invoices, but those with a bad line are not stored and are no earlier invoice of a pair
+GOOD_ORDER = "order_key NOT IN (SELECT order_key FROM bad_orders)"
+SCORED_WITH_LINES = with_ctes(DOMAIN, BAD_LINES, ENRICHED.replace(
+    f"CASE WHEN {STORABLE} THEN", f"CASE WHEN {STORABLE} AND {GOOD_ORDER} THEN"), CHECKS)
+
+
+def invoices_with_damaged_lines(spark, sf):
+    return G.with_line_violations(domain.invoices(spark, sf), domain.damaged_lines(spark, sf))
+
+
+@query("quarantined_invoices", f"""{with_ctes(DOMAIN, BAD_LINES)}
+SELECT invoice_id, concat_ws(',', CASE WHEN NOT {STORABLE} THEN 'currency' END, rules) AS reasons
+FROM inv LEFT JOIN bad_orders USING (order_key) WHERE rules IS NOT NULL OR NOT {STORABLE}""")
+def quarantined_invoices(spark, sf):
+    _, bad = G.quarantine(G.invoice_violations(invoices_with_damaged_lines(spark, sf)))
+    return bad.select("invoice_id", "reasons")
+
+
+@query("batch_with_line_errors", f"""{SCORED_WITH_LINES}
+SELECT invoice_id, CASE WHEN {STORABLE} AND {GOOD_ORDER} THEN status ELSE 'rejected' END AS status,
+  CASE WHEN {STORABLE} AND {GOOD_ORDER} THEN anomaly_types ELSE 'processing_error' END AS anomaly_flags FROM scored""")
+def batch_with_line_errors(spark, sf):
+    """An invoice whose record has a bad line is an error item, and no
+    earlier invoice for the duplicate test."""
+    scored_rows = score(invoices_with_damaged_lines(spark, sf), domain.vendors(spark, sf), domain.po_amounts(spark, sf))
+    return report.batch_items(scored_rows, ~G.no_violations()).select(
+        "invoice_id", "status", F.array_join("anomaly_flags", ",").alias("anomaly_flags"))

@@ -165,6 +165,17 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items with values that break each line rule, by part number."""
+    part = F.col("part_key")
+    return invoice_lines(spark, sf_dir).withColumns({
+        "description": F.when(part % 41 == 0, "").when(part % 43 == 0, F.lit(None).cast("string"))
+                        .when(part % 47 == 0, F.repeat(F.lit("x"), F.lit(501))).otherwise(F.col("description")),
+        "quantity": F.when(part % 53 == 0, F.lit(0).cast("decimal(12,2)")).otherwise(F.col("quantity")),
+        "unit_price": F.when(part % 59 == 0, F.lit(-1).cast(D18_2)).otherwise(F.col("unit_price")),
+        "total": F.when(part % 61 == 0, F.lit(-1).cast(D18_2)).otherwise(F.col("total"))})
+
+
 def human_decisions(spark: SparkSession, sf_dir: str,
                     invoices_df: DataFrame | None = None) -> DataFrame:
     """Reviewer decisions from the event stream.

@@ -4,24 +4,70 @@ retrieval against brute force on small made-up passages."""
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from ledgerline.operators import audit, extract, retrieval, review
+from ledgerline.operators import audit, extract, governance, registry, retrieval, review
 from ledgerline.plans.q_text import intake_files
+from ledgerline.plans.scoring import scored_from_tables
+from ledgerline.policy import Policy
 from ledgerline.sources.documents import rendered_documents
 
 
 def test_append_keeps_old_rows(spark, tmp_path):
     path = str(tmp_path / "audit")
     rows = spark.sql("SELECT id, timestamp_ntz'2024-01-30 10:00:00' + make_dt_interval(cast(id AS int)) AS timestamp FROM range(5)")
-    audit.append_rows(rows, path)
+    audit.append_rows(rows, path, "first")
     old = {f: f.read_bytes() for f in (tmp_path / "audit").rglob("*.parquet")}
-    audit.append_rows(rows.withColumn("id", F.col("id") + 10), path)
+    audit.append_rows(rows.withColumn("id", F.col("id") + 10), path, "second")
     assert old and all(f.read_bytes() == b for f, b in old.items())
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3, 4, 10, 11, 12, 13, 14]
+    want = [0, 1, 2, 3, 4, 10, 11, 12, 13, 14]
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == want
+    for job, more in (("second", 10), ("first", 0)):            # run again: each row is there once
+        audit.append_rows(rows.withColumn("id", F.col("id") + more), path, job)
+        assert sorted(r.id for r in spark.read.parquet(path).collect()) == want
+
+
+LINE = ("a", "1.00", "1.00", "1.00")
+BAD_LINES = {"description": [("", *LINE[1:]), (None, *LINE[1:]), ("x" * 501, *LINE[1:])],
+             "quantity": [("a", "0.00", "1.00", "1.00"), ("a", "-1.00", "1.00", "1.00")],
+             "unit_price": [("a", "1.00", "-0.01", "1.00")], "total": [("a", "1.00", "1.00", "-0.01")]}
+
+
+def test_a_bad_line_keeps_its_record_out(spark):
+    """Each line rule broken, one record each; good lines beside it do not help."""
+    lines, want = [(0, *LINE), (0, "x" * 500, "0.01", "0.00", "0.00")], {0: ""}
+    for rule, bad in BAD_LINES.items():
+        for row in bad:
+            key = len(want)
+            lines += [(key, *LINE), (key, *row), (key, *LINE)]
+            want[key] = f"line.{rule}"
+    lines += [(99, "", "0.00", "-1.00", "-1.00")]
+    want[99] = "line.description,line.quantity,line.total,line.unit_price"
+    table = spark.createDataFrame(lines, "order_key long, description string, quantity string, unit_price string, total string")
+    table = table.withColumns({c: F.col(c).cast("decimal(12,2)") for c in ("quantity", "unit_price", "total")})
+    inv = spark.createDataFrame([(k, f"i{k}", "USD", 1.0, 1.0) for k in want],
+                                "order_key long, invoice_id string, currency string, extraction_confidence double, ocr_confidence double")
+    good, bad = registry.quarantine(registry.invoice_violations(registry.with_line_violations(inv, table)))
+    assert [r.order_key for r in good.collect()] == [0]
+    assert {r.order_key: r.reasons for r in bad.collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_policy_table_and_gates_switched_off(spark, sf_dir):
+    policy = Policy().with_(disabled_gates=frozenset({"materiality_gate", "unknown_vendor"}), variance_threshold=Decimal("0.2"))
+    rules = {r.name: (r.threshold, r.enabled) for r in policy.rules()}
+    assert rules["variance_threshold"] == (Decimal("0.2"), True) and rules["materiality_gate"][1] is False
+    fired = lambda p: {r.rule_triggered for r in governance.decision_rows(
+        scored_from_tables(spark, sf_dir, p)).select("rule_triggered").distinct().collect()}
+    assert fired(Policy()) - fired(policy) == {"materiality_gate", "unknown_vendor"}
+
+
+def test_prompt_plan_extracts_each_pattern_once(spark, sf_dir):
+    plan = E.queries()["extraction_prompt_texts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 24
 
 
 def test_intake_of_text_files(spark, tmp_path):
