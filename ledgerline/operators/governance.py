@@ -48,7 +48,7 @@ def gate_ocr(p: Policy) -> Column:
     t = float(p.ocr_threshold)
     return (F.col("ocr_used") & (F.col("ocr_confidence") < F.lit(t)),
                   _decision("ocr_confidence_gate", "escalate", "human_review", ROLE_INTAKE,
-                            F.format_string("OCR confidence %s is below the %s threshold. Manual verification required.",
+                            F.format_string("Text recognition is only %s sure, %s are asked for; check by hand.",
                                             _pct(F.col("ocr_confidence")), F.lit(f"{t:.0%}")),
                             F.lit(t), F.col("ocr_confidence"),
                             F.struct(F.col("ocr_confidence"))))
@@ -58,7 +58,7 @@ def gate_duplicate(p: Policy) -> Column:
     """F2."""
     return (F.col("is_duplicate") & ~missing(F.col("invoice_number")) & ~missing(F.col("vendor_name")),
                   _decision("duplicate_detection", "block", "human_review", ROLE_ANOMALY,
-                            F.format_string("Duplicate detected: invoice %s from '%s' already processed (ID: %s) within %d days.",
+                            F.format_string("Number %s of '%s' came as %s in the last %d days.",
                                             F.col("invoice_number"), F.col("vendor_name"),
                                             F.col("duplicate_of"), F.lit(p.duplicate_days)),
                             metadata=F.struct(F.col("duplicate_of").alias("existing_invoice_id"))))
@@ -69,11 +69,10 @@ def gate_unknown_vendor(p: Policy) -> Column:
     return (missing(F.col("vendor_name")) | ~F.col("vendor_approved"),
             F.when(missing(F.col("vendor_name")),
                    _decision("unknown_vendor", "escalate", "human_review", ROLE_VALIDATION,
-                             F.lit("Vendor name could not be extracted. Invoice held for manual review.")))
+                             F.lit("Held for review: no vendor could be read.")))
             .otherwise(
                   _decision("unknown_vendor", "escalate", "human_review", ROLE_VALIDATION,
-                            F.format_string("Vendor '%s' is not in the approved vendor registry. "
-                                            "Payment is held pending vendor onboarding verification.",
+                            F.format_string("Held until '%s' is an approved vendor.",
                                             F.col("vendor_name")),
                             metadata=F.struct(F.col("vendor_name")))))
 
@@ -84,7 +83,7 @@ def gate_variance(p: Policy) -> Column:
     v = variance_double()
     return (outlier_applies() & abs_variance_exceeds(p.variance_threshold),
                   _decision("variance_threshold", "flag", "human_review", ROLE_VALIDATION,
-                            F.format_string("Invoice total %s differs from PO %s amount %s by %s, exceeding the %s threshold.",
+                            F.format_string("Total %s against order %s of %s: off by %s, %s are tolerated.",
                                             F.col("total").cast("string"), F.col("po_number"),
                                             F.col("po_amount").cast("string"), _pct(v), F.lit(f"{t:.0%}")),
                             F.lit(t), v,
@@ -111,7 +110,7 @@ def gate_materiality(p: Policy) -> Column:
              .otherwise(F.lit(f"${p.materiality_l1:,.0f} L1 Manager")))
     return (lvl.isNotNull(),
                   _decision("materiality_gate", "escalate", lvl, ROLE_RECONCILIATION,
-                            F.format_string("Invoice total %s meets or exceeds the %s approval threshold.",
+                            F.format_string("Total %s needs approval at %s.",
                                             F.col("total").cast("string"), label),
                             tier, F.col("total"),
                             F.struct(F.col("total").cast("double").alias("amount"),
@@ -123,8 +122,7 @@ def gate_confidence(p: Policy, below: Column, value: Column, actor: str) -> Colu
     t = float(p.agent_threshold)
     return (below,
                   _decision("agent_confidence_gate", "escalate", "human_review", actor,
-                            F.format_string("Agent %s reported confidence %s, below the %s threshold. "
-                                            "Escalating for human review.", F.lit(actor), _pct(value),
+                            F.format_string("%s is only %s sure, %s are asked for; a person decides.", F.lit(actor), _pct(value),
                                             F.lit(f"{t:.0%}")),
                             F.lit(t), value, F.struct(value.alias("agent_confidence"))))
 

@@ -3,10 +3,12 @@ group and key?") for groups that are few and large.
 
 A window ``partitionBy(group).orderBy(ts)`` would put a whole group into one
 task; with six review flags that is six tasks however big the cluster is.
-Here time is cut into buckets. A partial aggregate counts rows by (group, key,
-bucket); a window over those few rows gives the totals of all earlier buckets;
-inside a bucket a window over (group, bucket) counts the rest. Every step
-depends on column values only, so re-running a task changes nothing.
+Here time is cut into buckets: days, and where a day holds too many rows of a
+group, hours, minutes and so on. A partial aggregate counts rows by (group,
+key, bucket); a window over those few rows gives the totals of all earlier
+buckets; inside a bucket a window over (group, bucket) counts the rest. Every
+step depends on column values only, so re-running a task changes nothing. The
+input is planned once: its rows are written and read back.
 """
 
 from __future__ import annotations
@@ -15,18 +17,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shared_table
+
+
+CROWDED = 200_000
+# characters of a timestamp's text: day, hour, minute, second, and parts of it
+LEVELS = (10, 13, 16, 19, 22, 24, 26)
+
+
+def time_buckets(src: DataFrame, at: str, crowded: int) -> DataFrame:
+    """Adds ``_b``: the beginning of the time's text, as long as is needed for
+    at most ``crowded`` rows of a group ``_g`` in a bucket. Rows of one moment
+    stay together; rows without a time come first."""
+    text = F.coalesce(F.col(at).cast("timestamp_ntz").cast("string"), F.lit(""))
+    src = src.withColumn("_b", F.substring(text, 1, LEVELS[0]))
+    for level in LEVELS[1:]:
+        full = (src.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > crowded) & (F.col("_b") != ""))
+                .select("_g", "_b", F.lit(True).alias("_full")))
+        if full.isEmpty():
+            break
+        src = (src.join(full, ["_g", "_b"], "left")
+               .withColumn("_b", F.when(F.col("_full"), F.substring(text, 1, level)).otherwise(F.col("_b"))).drop("_full"))
+    return src
+
 
 def prior_counts(df: DataFrame, group: str, key: str, order: list[str],
-                 bucket: Column | None = None) -> DataFrame:
+                 bucket: Column | None = None, crowded: int = CROWDED) -> DataFrame:
     """Adds ``prior_n`` (earlier rows with the same ``group``) and ``prior_same``
     (earlier rows with the same ``group`` and ``key``); ``order`` must be a
     total order (end it with a unique id). ``bucket`` must not fall along
-    ``order``; by default it is the day of the first order column. Rows without
-    a value there come first, in a bucket of their own."""
-    day = F.to_date(order[0]) if bucket is None else bucket
+    ``order``; by default it is cut from the first order column, a time."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    src = df.withColumns({"_g": text(group), "_k": text(key),
-                          "_b": F.coalesce(day.cast("string"), F.lit(""))})
+    src = shared_table(df.withColumns({"_g": text(group), "_k": text(key)}), "prior-counts")
+    src = (time_buckets(src, order[0], crowded) if bucket is None
+           else src.withColumn("_b", F.coalesce(bucket.cast("string"), F.lit(""))))
     totals = src.groupBy("_g", "_k", "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off_k = totals.select("_g", "_k", "_b", F.coalesce(

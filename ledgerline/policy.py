@@ -99,6 +99,7 @@ class GateRule:
     enabled: bool = True
 
 
+# The thresholds that results must agree with.
 @dataclass(frozen=True)
 class Policy:
     as_of: _dt.date = _dt.date(2000, 6, 1)

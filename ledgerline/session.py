@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -58,3 +59,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             _LOCAL_CHECKPOINT_DIRS[sc.applicationId] = current
     sc.setCheckpointDir(current)
     return current
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back: what reads
+    it more than once does not compute it again."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/ledgerline/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from ledgerline.functions import text as T
-from ledgerline.operators import registry, retrieval
+from ledgerline.operators import prefix, registry, retrieval
 
 
 def test_page_refuses_bad_limits(spark):
@@ -54,3 +54,24 @@ def test_running_counts_without_exchange_reuse(spark, sf_dir):
         assert rows() == with_reuse and with_reuse
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_one_day_that_holds_all_rows_is_split(spark):
+    """Nearly all rows on one day, half of these in one second; some without a time."""
+    df = spark.range(3000).selectExpr(
+        "id AS seq", "concat('f', id % 2) AS flag", "concat('d', id % 3) AS decision",
+        """CASE WHEN id % 100 = 7 THEN NULL WHEN id % 50 = 3 THEN timestamp_ntz'2024-01-01 08:00:00'
+           WHEN id % 2 = 0 THEN timestamp_ntz'2024-05-05 10:20:30' + make_dt_interval(0, 0, 0, pmod(id * 7919, 1000) / 1000.0)
+           ELSE timestamp_ntz'2024-05-05 00:00:00' + make_dt_interval(0, 0, 0, pmod(id * 7919, 86000)) END AS at""")
+    rows = sorted(df.collect(), key=lambda r: (r.at is not None, r.at or 0, r.seq))
+    seen, want = {}, {}
+    for r in rows:
+        want[r.seq] = (seen.get(r.flag, 0), seen.get((r.flag, r.decision), 0))
+        seen[r.flag] = seen.get(r.flag, 0) + 1
+        seen[r.flag, r.decision] = seen.get((r.flag, r.decision), 0) + 1
+    for crowded in (20, 10**6):
+        got = prefix.prior_counts(df, "flag", "decision", ["at", "seq"], crowded=crowded)
+        assert {r.seq: (r.prior_n, r.prior_same) for r in got.collect()} == want
+    buckets = prefix.time_buckets(df.withColumn("_g", F.col("flag")), "at", 20).where("at is not null")
+    largest = buckets.groupBy("_g", "_b").agg(F.count("*").alias("n"), F.countDistinct("at").alias("moments"))
+    assert largest.where("n > 20 AND moments > 1").isEmpty()
