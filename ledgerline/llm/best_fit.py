@@ -29,6 +29,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,12 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> "WordEncoder":
+    """One for all tasks of a worker, so that they share its bounded caches."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """Ids of a text by a ``tokenizers`` file whose pieces never hold white
     space: each different word is encoded once."""
@@ -98,6 +105,8 @@ class WordEncoder:
         return got
 
     def word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and len(word) <= 64:
+            return self.part(word.lower())
         if not PLAIN.fullmatch(word) or "<|" in word:      # odd letters, very long, or a special string
             return self.by_library(word)
         return b"".join(map(self.part, WORD_PIECES.findall(word.lower())))
@@ -129,7 +138,7 @@ def token_pieces(docs: DataFrame, path: str, max_len: int) -> DataFrame:
     width = 4 * max_len
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(max_len + 1, np.int64)
         for batch in pieces(batches, 256):
