@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as J
+from ..operators.registry import no_violations
+from ..session import shared_table
 from ..sources.tables import read_table
 from .catalog import query
-from ..operators.registry import no_violations
 from .q_scoring import STORED, invoices
 
 # Fixed policy questions for keyword search (query text is a parameter).
@@ -48,7 +49,7 @@ def chunks_to_index(spark, sf):
 @query("keyword_topk")
 def keyword_topk(spark, sf):
     qs = spark.createDataFrame([(i, q) for i, q in enumerate(POLICY_QUESTIONS)], "query_id int, query string")
-    top = J.keyword_topk(qs, chunks(spark, sf), k=3)
+    top = J.keyword_topk(qs, shared_table(chunks(spark, sf), "passages"), k=3)
     return top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score",
                       "relevance_score")
 
@@ -66,9 +67,8 @@ FROM r WHERE rank <= 3"""
 
 @query("vector_topk", _vec_sql())
 def vector_topk(spark, sf):
-    """Queries: one exemplar per label (its lowest vec_id), so the query set
-    is bounded by the number of labels and its size is checked before the
-    broadcast; every embedding is scored against it exactly."""
+    """Queries: one exemplar per label (its lowest vec_id), against every
+    embedding, exactly."""
     e = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
     q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qvec")).withColumnRenamed("label", "query_id")
     top = J.vector_topk(q, e.select("vec_id", "embedding"), k=3)
@@ -101,11 +101,12 @@ def policy_context(spark, sf):
     """Per stored invoice: the amount query and (if a vendor is named) the
     vendor query against the policy corpus (the benchmark passages)."""
     st = invoices(spark, sf).where(no_violations())
-    q1 = st.select("invoice_id", F.lit(1).alias("q_no"), F.col("total").cast("double").cast("string").alias("own"))
-    q2 = (st.where(F.col("vendor_name") != "")
-          .select("invoice_id", F.lit(2).alias("q_no"), F.col("vendor_name").alias("own")))
+    own = F.array_compact(F.array(
+        F.struct(F.lit(1).alias("q_no"), F.col("total").cast("double").cast("string").alias("own")),
+        F.when(F.col("vendor_name") != "", F.struct(F.lit(2).alias("q_no"), F.col("vendor_name").alias("own")))))
+    asked = st.select("invoice_id", F.inline(own))
     b = read_table(spark, sf, "benchmark", "item_id", "text")
     corpus = b.select(F.md5(F.concat(F.lit("benchmark:"), F.col("item_id").cast("string"))).alias("chunk_id"),
                       F.col("item_id").alias("doc_id"), F.lit(0).alias("chunk_index"),
                       F.lit("benchmark").alias("source"), "text")
-    return J.policy_context(q1.unionByName(q2), POLICY_WORDS, corpus)
+    return J.policy_context(asked, POLICY_WORDS, corpus)

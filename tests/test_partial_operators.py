@@ -139,10 +139,39 @@ def test_policy_context_against_brute_force(spark):
     assert not got
 
 
-def test_too_many_query_vectors_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "MAX_VECTOR_QUERIES", 2)
-    v = spark.sql("SELECT id AS vec_id, array(1.0D, cast(id AS double)) AS embedding FROM range(4)")
-    q = v.selectExpr("vec_id AS query_id", "embedding AS qvec")
-    assert retrieval.vector_topk(q.where("query_id < 2"), v, 1).count() == 2
-    with pytest.raises(Exception, match="too many query vectors"):
-        retrieval.vector_topk(q, v, 1).collect()
+@pytest.mark.parametrize("at_once", [0, 3])
+def test_keyword_topk_needs_no_postings_of_frequent_terms(spark, at_once):
+    q = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, query string")
+    for k in (1, 2):
+        got = {(r.query_id, r["rank"], r.chunk_id, r.score)
+               for r in retrieval.keyword_topk(q, corpus(spark), k, at_once).collect()}
+        assert got == {(n, r, f"c{i}", -s) for n, w in enumerate(QUERIES) for r, (s, i) in enumerate(best(w, k), 1)}
+
+
+def test_vector_topk_against_brute_force(spark):
+    """Groups of near vectors, a third of the rows one copy, rows without a
+    direction; far cells are not read."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(12, 8)) * 10
+    rows = [(i, (middles[i % 12] + rng.normal(size=8)).tolist()) for i in range(600)]
+    rows += [(600 + i, [1.0] * 8) for i in range(300)]
+    odd = [(2000, [0.0] * 8), (2001, None), (2002, [None] + [1.0] * 7)]
+    v = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    asked = [(i, rows[i][1]) for i in range(0, 900, 50)] + [(i + 2000, x) for i, (_, x) in enumerate(odd)]
+    q = spark.createDataFrame(asked, "query_id long, qvec array<double>")
+    cells = retrieval.VectorCells(v, pivots=16, block=64)
+    got = {}
+    for r in retrieval.vector_topk(q, cells, 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    m = np.array([x for _, x in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for i in range(0, 900, 50):
+        d = np.round(1 - m @ m[i], 12)
+        assert [x for _, x in sorted(got.pop(i))] == sorted(range(900), key=lambda j: (d[j], j))[:4]
+    assert not got
+    directed = retrieval._directed(q, "query_id", "qvec")
+    read = retrieval._rings(directed.withColumn("bound", F.lit(0.3)), cells, 4, False)
+    sizes = {(r.cell, r.ring): r.n for r in cells.rings.itertuples()}
+    assert sum(sizes[r.cell, r.ring] for r in read.collect()) < 0.5 * 18 * 900
+    assert retrieval.vector_topk(q, v.limit(0)).count() == 0
