@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import ledger
 from ..operators import registry as G
 from ..operators import report
 from ..operators.enrich import match_pos, match_vendors
 from ..operators.review import review_status as _review_status
 from ..policy import CURRENCIES, DEFAULT_POLICY
+from ..session import ensure_checkpoint_dir, shared_table
 from ..sources import domain
 from .catalog import query
 from .oracle_base import CHECKS, DOMAIN, ENRICHED, with_ctes
@@ -80,6 +83,32 @@ def apply_status_changes(spark, sf):
     return G.apply_status_changes(stored(spark, sf), changes, ts).select("invoice_id", "status")
 
 
+@query("ledger_merge", f"""{HD},
+rs AS (SELECT invoice_id, CASE arg_max(decision, (timestamp, seq)) WHEN 'approve' THEN 'approved'
+         WHEN 'adjust_and_approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'on_hold' END AS new_status
+       FROM saved GROUP BY invoice_id)
+SELECT s.invoice_id, coalesce(rs.new_status, s.status) AS status, s.created_at,
+  CASE WHEN s.status = 'rejected' THEN 'unknown' ELSE 'invoice' END AS document_type
+FROM stored s LEFT JOIN rs USING (invoice_id)""")
+def ledger_merge(spark, sf):
+    """A4 then A6 on a stored ledger: created from the invoices that are not
+    rejected, first as 'processing'; a merge brings every held, flagged and
+    rejected one (the rejected are inserted), another the approved ones; the
+    last sets the statuses that reviews gave."""
+    rows = shared_table(stored(spark, sf).select("invoice_id", "status", "created_at"), "ledger-input")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerline/ledger-{uuid.uuid4().hex}"
+    kind = lambda df, t: df.withColumn("document_type", F.lit(t))
+    approved = F.col("status") == "approved"
+    ledger.create_ledger(kind(rows.where("status <> 'rejected'").withColumn("status", F.lit("processing")), "invoice"),
+                         path, "invoice_id", buckets=16)
+    ledger.merge_ledger(kind(rows.where(~approved), "unknown"), path, "invoice_id", "held")
+    ledger.merge_ledger(kind(rows.where(approved), "unknown"), path, "invoice_id", "approved")
+    changes = _review_status(saved(spark, sf)).select("invoice_id", "status")
+    known = changes.join(rows, "invoice_id", "left_semi")
+    ledger.merge_ledger(known, path, "invoice_id", "reviews")
+    return ledger.read_ledger(spark, path)
+
+
 LINES_SQL = f"""{BASE},
 lines AS (
   SELECT l_orderkey AS order_key, l_linenumber AS line_no, p_name AS description,
