@@ -2,15 +2,17 @@
 
 Texts are folded first: lower case, look-alike letters and digit or sign
 substitutions to plain letters, everything else to single spaces. The
-automaton then finds lexicon entries, which are words or word beginnings of at
-least four letters; an entry counts with its weight unless the words around it
+automaton then finds lexicon entries, which are whole words of up to twelve
+letters or word beginnings of four to twelve (longer words count by these); an
+entry counts with its weight unless the words around it
 make an exception phrase. The weights of all matches, normalised by the length
 of the text, go through a logistic curve.
 
 Learning uses labelled rows only: all of them if they are at most ``bound``,
 else a hash sample of about that many (the documented bound for fitting). The
-tables it gathers hold counts by word beginning, and the driver takes the
-entries whose log-odds stand out.
+tables it gathers hold counts by word beginning, and the driver takes all
+entries whose log-odds stand out, and all exceptions that enough texts show;
+both are bounded by the words of that sample.
 
 Defined results: null and empty texts get the score of a text without any
 match; a table without labels of both kinds gives every text the share of
@@ -75,7 +77,16 @@ class Lexicon:
     curve: np.ndarray = field(default_factory=lambda: np.zeros(4))
     prior: float = 0.5
 
+    def __getstate__(self):             # tasks build their own automaton
+        return {k: v for k, v in self.__dict__.items() if k != "_auto"}
+
     def automaton(self):
+        """Built once by a task."""
+        if "_auto" not in self.__dict__:
+            self._auto = self._build()
+        return self._auto
+
+    def _build(self):
         auto = ahocorasick.Automaton()
         for entry, w in self.weights.items():
             auto.add_word(entry, (entry, w))
@@ -122,16 +133,15 @@ def beginnings(folded: str) -> Counter:
     """Counts of word beginnings, and of whole words (with the space after)."""
     out: Counter = Counter()
     for word in folded.split():
-        if len(word) >= MIN_LETTERS:
-            for k in range(MIN_LETTERS, min(len(word), MAX_LETTERS) + 1):
-                out[" " + word[:k]] += 1
-            if len(word) <= MAX_LETTERS:
-                out[" " + word + " "] += 1
+        for k in range(MIN_LETTERS, min(len(word), MAX_LETTERS) + 1):
+            out[" " + word[:k]] += 1
+        if len(word) <= MAX_LETTERS:
+            out[" " + word + " "] += 1
     return out
 
 
-def learn_lexicon(sample: DataFrame, entries: int = 400) -> Lexicon:
-    """``sample``: (doc_id, text, label)."""
+def learn_lexicon(sample: DataFrame) -> Lexicon:
+    """``sample``: (doc_id, text, label), about ``bound`` rows."""
     totals = {int(r.label): (r.docs, r.words) for r in sample.groupBy("label").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))).alias("words")
     ).collect()}
@@ -163,14 +173,16 @@ def learn_lexicon(sample: DataFrame, entries: int = 400) -> Lexicon:
     both = (F.col("k0") + F.col("k1")) / (w0 + w1)
     gain = (F.col("k1") * F.log((F.col("k1") + 1e-9) / w1 / both)
             + F.when(F.col("k0") > 0, F.col("k0") * F.log(F.col("k0") / w0 / both)).otherwise(0.0))
-    # a top-k report over the counts: candidates for the driver's choice
+    # entries of the bounded sample that stand out, the sharpest first
     top = (counted.where(f"d1 >= {MIN_DOCS}").withColumn("w", rate).withColumn("gain", gain)
-           .where(f"w >= {MIN_WEIGHT} and gain >= 8").orderBy(F.desc("gain"), "entry").limit(20 * entries).collect())
+           .where(f"w >= {MIN_WEIGHT} and gain >= 8").orderBy(F.desc("gain"), "entry").collect())
     chosen: dict[str, float] = {}
+    begun: set[str] = set()             # beginnings of chosen entries
     for r in top:   # a longer or shorter form of a chosen entry adds nothing unless it is much sharper
-        near = [c for c in chosen if r.entry.startswith(c) or c.startswith(r.entry)]
-        if all(r.entry.startswith(c) and r.w > chosen[c] + 1.0 for c in near) and len(chosen) < entries:
+        forms = [r.entry[:k] for k in range(1, len(r.entry) + 1)]
+        if r.entry not in begun and all(r.w > chosen[c] + 1.0 for c in forms if c in chosen):
             chosen[r.entry] = float(r.w)
+            begun.update(forms)
     lex.weights = chosen
     return lex
 
@@ -205,7 +217,7 @@ def learn_exceptions(sample: DataFrame, lex: Lexicon, least: int = 5) -> set[tup
            .where("word <> ''").groupBy("entry", "side", "word")
            .agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"),
                 F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"))
-           .where(f"clean >= {least} and clean >= 19 * toxic").limit(10_000).collect())
+           .where(f"clean >= {least} and clean >= 19 * toxic").collect())
     return {(r.entry, r.side, r.word) for r in got}
 
 

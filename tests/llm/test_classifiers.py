@@ -108,3 +108,33 @@ def test_svm_separates():
 def test_held_out_column(spark):
     got = spark.range(200).selectExpr("id AS doc_id").withColumn("h", held_out(4, 2)).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+def test_toxic_matches_against_a_plain_search():
+    import random
+    rng = random.Random(3)
+    words = ["ab", "abc", "abcd", "abcde", "bad", "badger", "cab", "a", "dcba"]
+    for _ in range(200):
+        entries = {" " + w + rng.choice(["", " "]): 1.0 for w in rng.sample(words, 4)}
+        folded = toxicity.fold(" ".join(rng.choice(words) for _ in range(rng.randrange(12))))
+        want = []
+        for at in range(len(folded)):
+            mine = [e for e in entries if folded.startswith(e, at)]
+            if mine:
+                e = max(mine, key=len)
+                want.append((e, entries[e], at + len(e) - 1))
+        auto = toxicity.Lexicon(weights=entries).automaton()
+        assert sorted(toxicity.matches(auto, folded), key=lambda m: m[2] - len(m[0])) == want
+
+
+def test_toxic_short_words_and_many_exceptions(spark):
+    """Three-letter words are learned, and no exception is left out by chance."""
+    texts = [f"plain words here w{chr(97 + i % 26)} {'zog' if i % 2 else 'fine'} end" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    lex = toxicity.learn_lexicon(docs.join(labels, "doc_id").withColumnRenamed("toxic", "label"))
+    assert " zog " in lex.weights
+    near = [f"zog {chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(400) for _ in range(5)]
+    clean = spark.createDataFrame([(i, t, 0) for i, t in enumerate(near)], "doc_id long, text string, label int")
+    got = toxicity.learn_exceptions(clean, toxicity.Lexicon(weights={" zog ": 1.0}))
+    assert len([e for e in got if e[1] == "after"]) == 400
