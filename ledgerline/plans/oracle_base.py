@@ -5,7 +5,11 @@ Spark plans."""
 
 from __future__ import annotations
 
+from ..operators.prefix import ratio_half_even_sql
+
 AS_OF = "DATE '2000-06-01'"
+# half-even in whole cents
+VARIANCE = ratio_half_even_sql("abs(total - po_amount) * 100", "CAST(po_amount * 100 AS BIGINT)", 4)
 
 DOMAIN = f"""
 vendors AS (
@@ -114,7 +118,7 @@ v AS (
     CAST(vendor_conf + po_conf + date_conf + arith_conf + currency_conf AS DECIMAL(8,2)) AS conf_sum,
     CAST(CAST((vendor_conf + po_conf + date_conf + arith_conf + currency_conf) * 200 AS BIGINT) AS DOUBLE) / 1000.0
       AS validation_confidence,
-    CASE WHEN po_ok THEN round(CAST(abs(total - po_amount) AS DOUBLE) / CAST(po_amount AS DOUBLE), 4) END AS po_variance_pct,
+    CASE WHEN po_ok THEN {VARIANCE} END AS po_variance_pct,
     coalesce(po_ok AND abs(total - po_amount) <= po_amount * 0.10, false) AS po_match,
     CASE WHEN is_duplicate AND invoice_number <> '' AND vendor_name <> '' THEN 'critical' END AS sev_dup,
     CASE WHEN outlier_ok AND abs(total - po_amount) > po_amount * 0.10 THEN

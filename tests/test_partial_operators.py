@@ -175,3 +175,20 @@ def test_vector_topk_against_brute_force(spark):
     sizes = {(r.cell, r.ring): r.n for r in cells.rings.itertuples()}
     assert sum(sizes[r.cell, r.ring] for r in read.collect()) < 0.5 * 18 * 900
     assert retrieval.vector_topk(q, v.limit(0)).count() == 0
+
+
+def test_variance_is_rounded_half_even(spark):
+    from ledgerline.operators.validate import variance_rounded
+    rows = [("1.00125", "1"), ("1.00135", "1"), ("1.00005", "1"), ("8.50", "8.00"), ("-1.00125", "-1"), ("5", "0")]
+    df = spark.createDataFrame([(Decimal(a), Decimal(b)) for a, b in rows], "total decimal(18,5), po_amount decimal(18,2)")
+    assert [r[0] for r in df.select(variance_rounded()).collect()] == [0.0012, 0.0014, 0.0, 0.0625, -0.0012, None]
+
+
+def test_ocr_rollup_half_even_and_blank_words(spark):
+    rows = [(1, 0, 0, 0, "a", 6), (1, 0, 0, 1, "b", 7), (1, 0, 0, 2, "\t", 90), (1, 0, 0, 3, "\u00a0", 90),
+            (1, 0, 0, 4, "c", -1), (2, 0, 0, 0, "\u2003", 50), (2, 0, 0, 1, "d", -1)]
+    words = spark.createDataFrame(rows + [(3, i, 0, 0, "w", 50 + (i == 0)) for i in range(16)],
+                                  "doc_id int, page int, line_no int, pos int, word string, conf int")
+    got = {r.doc_id: (r.ocr_confidence, r.ocr_text) for r in extract.ocr_rollup(words).collect()}
+    assert got[1] == (0.065, "a b c") and got[2] == (0.0, "d")
+    assert got[3][0] == 0.501    # 0.500625
