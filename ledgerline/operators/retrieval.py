@@ -219,26 +219,28 @@ def _spelled(df: DataFrame, word: str) -> DataFrame:
 
 
 class WordTables:
-    """What term lookups read, written once: ``postings`` (word, chunk_id) and
-    ``grams`` (gram, word, passages that hold the word)."""
+    """What term lookups read: ``postings`` (word, chunk_id) as passages are
+    read, and ``vocabulary`` (word, passages that hold it), written once. Small
+    tables are written before a join, so that Spark knows their size."""
 
     def __init__(self, chunks: DataFrame):
-        self.postings = shared_table(
-            chunks.select("chunk_id", F.explode(F.array_distinct(_words("text"))).alias("word")), "postings")
-        vocabulary = _spelled(self.postings.groupBy("word").agg(F.count(F.lit(1)).alias("passages")), "word")
-        every = F.concat(*[F.coalesce(_grams(F.lit(n)), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])
-        self.grams = shared_table(
-            vocabulary.select("word", "passages", F.explode(F.array_distinct(every)).alias("gram")), "word-grams")
+        self.postings = chunks.select("chunk_id", F.explode(F.array_distinct(_words("text"))).alias("word"))
+        self.vocabulary = shared_table(self.postings.groupBy("word").agg(F.count(F.lit(1)).alias("passages")), "vocabulary")
 
     def words(self, terms: DataFrame) -> DataFrame:
-        """(term, word, passages) for each word that contains the term: the term
-        is looked up by its gram that the fewest words hold, and each candidate
-        word is checked."""
+        """(term, word, passages) for each word that contains the term, written:
+        the term is looked up by its gram that the fewest words hold, and each
+        candidate word is checked."""
+        every = F.concat(*[F.coalesce(_grams(F.lit(n)), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])
+        index = _spelled(self.vocabulary, "word").select("word", "passages", F.explode(F.array_distinct(every)).alias("gram"))
         spelled = _spelled(terms.select("term").distinct(), "term")
-        asked = spelled.select("term", F.explode(F.array_distinct(_grams(F.least(F.lit(GRAM), F.size("_c"))))).alias("gram"))
-        n_words = self.grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        rarest = asked.join(n_words, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-        return rarest.join(self.grams, "gram").where(F.col("word").contains(F.col("term"))).select("term", "word", "passages")
+        asked = shared_table(spelled.select("term", F.explode(F.array_distinct(_grams(F.least(F.lit(GRAM), F.size("_c")))))
+                                            .alias("gram")), "asked-grams")
+        n_words = index.join(asked, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        rarest = shared_table(asked.join(n_words, "gram").groupBy("term")
+                              .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")), "rarest-grams")
+        found = rarest.join(index, "gram").where(F.col("word").contains(F.col("term")))
+        return shared_table(found.select("term", "word", "passages"), "term-words")
 
 
 def _best(scores: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -262,7 +264,7 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 3, at_once: int
     q = queries.select("query_id", _words("query").alias("_terms")).where(F.size("_terms") > 0)
     times = (q.select("query_id", F.explode("_terms").alias("term")).groupBy("query_id", "term")
              .agg(F.count(F.lit(1)).alias("times")))
-    words = shared_table(tables.words(times), "term-words")
+    words = tables.words(times)
     order = Window.partitionBy("query_id").orderBy("found", "term")
     asked = times.join(words.groupBy("term").agg(F.sum("passages").alias("found")), "term")
     asked = shared_table(asked.withColumns({
@@ -272,8 +274,9 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 3, at_once: int
     passages = chunks.select("chunk_id", "doc_id", "chunk_index", F.lower("text").alias("_low"))
 
     def best_of(terms):
-        at = (terms.join(words, "term").join(tables.postings, "word").select("query_id", "chunk_id").distinct()
-              .join(q, "query_id").join(passages, "chunk_id"))
+        lead = shared_table(terms.join(words, "term").select("query_id", "word").distinct(), "lead-words")
+        at = shared_table(lead.join(tables.postings, "word").select("query_id", "chunk_id").distinct(), "keyword-candidates")
+        at = at.join(passages, "chunk_id").join(q, "query_id")
         score = F.size(F.filter("_terms", lambda t: F.col("_low").contains(t)))
         scored = at.select("query_id", "chunk_id", "doc_id", "chunk_index", F.size("_terms").alias("n_terms"),
                            score.alias("score"))
