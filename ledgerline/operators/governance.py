@@ -11,7 +11,7 @@ from ..functions.cols import dec, missing, stable_id
 from ..policy import (DEFAULT_POLICY, ROLE_ANOMALY, ROLE_EXTRACTION, ROLE_INTAKE,
                       ROLE_RECONCILIATION, ROLE_VALIDATION, Policy)
 from .anomaly import outlier_applies
-from .validate import abs_variance_exceeds, variance_double
+from .validate import abs_variance_exceeds, variance_double, variance_rounded
 
 # Gate order (F7): intake, extraction, validation, anomaly stages.
 GATE_ORDER = ("g_ocr", "g_dup", "g_conf_extract", "g_vendor", "g_variance",
@@ -85,7 +85,7 @@ def gate_variance(p: Policy) -> Column:
                   _decision("variance_threshold", "flag", "human_review", ROLE_VALIDATION,
                             F.format_string("Total %s against order %s of %s: off by %s, %s are tolerated.",
                                             F.col("total").cast("string"), F.col("po_number"),
-                                            F.col("po_amount").cast("string"), _pct(v), F.lit(f"{t:.0%}")),
+                                            F.col("po_amount").cast("string"), _pct(variance_rounded(3)), F.lit(f"{t:.0%}")),
                             F.lit(t), v,
                             F.struct(F.col("po_amount").cast("double").alias("po_amount"),
                                      F.col("total").cast("double").alias("invoice_total"),

@@ -10,6 +10,7 @@ from ..operators.prefix import ratio_half_even_sql
 AS_OF = "DATE '2000-06-01'"
 # half-even in whole cents
 VARIANCE = ratio_half_even_sql("abs(total - po_amount) * 100", "CAST(po_amount * 100 AS BIGINT)", 4)
+VARIANCE_TENTHS = ratio_half_even_sql("abs(total - po_amount) * 100", "CAST(po_amount * 100 AS BIGINT)", 3)  # of a percent
 
 DOMAIN = f"""
 vendors AS (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as J
 from ..operators.registry import no_violations
+from ..policy import CHUNK_MIN_CHARS
 from ..session import shared_table
 from ..sources.tables import read_table
 from .catalog import query
@@ -29,14 +30,63 @@ def chunks(spark, sf):
     return J.chunk_documents(markdown_docs(spark, sf))
 
 
-# J1/J2/J4 split with a look-ahead, which DuckDB's regex engine cannot express:
-# these keys are checked against a Python brute force in tests/test_retrieval.py.
-@query("chunk_documents")
+def _sections_sql(lines_per_section: int = 5) -> str:
+    """``sectioned_markdown`` over ``documents``: (doc_id, source, markdown)."""
+    k = lines_per_section
+    return f"""sections AS (
+  SELECT doc_id, 'doc-' || CAST(doc_id AS VARCHAR) || '.md' AS source, string_split(text, chr(10)) AS ls
+  FROM documents WHERE text IS NOT NULL),
+markdown AS (
+  SELECT doc_id, source, array_to_string(list_transform(range(0, greatest(1, (len(ls) + {k - 1}) // {k})),
+    lambda i: '## Section ' || CAST(i + 1 AS VARCHAR) || chr(10) || chr(10)
+              || array_to_string(ls[i * {k} + 1:i * {k} + {k}], chr(10))), chr(10) || chr(10)) AS md
+  FROM sections)"""
+
+
+# A mark stands before each header sign that a chunk may begin with (the last
+# three '#' before a space), so that no look-ahead is needed; a text that begins
+# with one has no empty piece before it.
+CHUNK_SQL = f"""{_sections_sql()},
+marked AS (
+  SELECT doc_id, source, replace(replace(replace(md, '# ', chr(1) || '# '), '#' || chr(1) || '# ',
+    chr(1) || '#' || chr(1) || '# '), '#' || chr(1) || '#' || chr(1) || '# ',
+    chr(1) || '#' || chr(1) || '#' || chr(1) || '# ') AS md FROM markdown),
+split AS (
+  SELECT doc_id, source, string_split_regex(CASE WHEN starts_with(md, chr(1)) THEN substring(md, 2) ELSE md END,
+    '\\n{{2,}}|\\x01') AS parts FROM marked),
+pieces AS (
+  SELECT doc_id, source, unnest(range(0, len(parts))) AS chunk_index, unnest(parts) AS raw FROM split),
+stripped AS (
+  SELECT doc_id, source, CAST(chunk_index AS INTEGER) AS chunk_index,
+    regexp_replace(raw, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS text FROM pieces),
+chunks AS (
+  SELECT *, md5(source || ':' || CAST(chunk_index AS VARCHAR) || ':' || substring(text, 1, 50)) AS chunk_id
+  FROM stripped WHERE length(text) >= {CHUNK_MIN_CHARS})"""
+
+
+def _keyword_sql(questions) -> str:
+    each = []
+    for i, text in enumerate(questions):
+        terms = text.lower().split()
+        score = " + ".join(f"contains(lower(text), '{t}')::INTEGER" for t in terms)
+        each.append(f"SELECT {i} AS query_id, {len(terms)} AS n_terms, chunk_id, doc_id, chunk_index, {score} AS score "
+                    "FROM chunks")
+    return f"""WITH {CHUNK_SQL},
+scores AS ({" UNION ALL ".join(each)}),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank
+         FROM scores WHERE score > 0)
+SELECT query_id, rank, chunk_id, score, CAST(score AS DOUBLE) / n_terms AS relevance_score FROM best WHERE rank <= 3"""
+
+
+@query("chunk_documents", f"WITH {CHUNK_SQL} SELECT doc_id, chunk_index, chunk_id, length(text) AS n_chars FROM chunks")
 def chunk_documents(spark, sf):
     return chunks(spark, sf).select("doc_id", "chunk_index", "chunk_id", F.length("text").alias("n_chars"))
 
 
-@query("chunks_to_index")
+@query("chunks_to_index", f"""WITH {CHUNK_SQL},
+known AS (SELECT * FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT chunk_id, doc_id, false AS inserted FROM known
+UNION ALL SELECT chunk_id, doc_id, true FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM known)""")
 def chunks_to_index(spark, sf):
     """The existing index holds the chunks of labelled documents; the build
     adds every missing chunk id."""
@@ -46,7 +96,7 @@ def chunks_to_index(spark, sf):
     return J.index_chunks(existing, c).select("chunk_id", "doc_id", "inserted")
 
 
-@query("keyword_topk")
+@query("keyword_topk", _keyword_sql(POLICY_QUESTIONS))
 def keyword_topk(spark, sf):
     qs = spark.createDataFrame([(i, q) for i, q in enumerate(POLICY_QUESTIONS)], "query_id int, query string")
     top = J.keyword_topk(qs, shared_table(chunks(spark, sf), "passages"), k=3)

@@ -15,7 +15,7 @@ from ..operators.validate import check_arithmetic, check_currency, check_date, c
 from ..policy import DEFAULT_POLICY
 from ..sources import domain
 from .catalog import query
-from .oracle_base import SCORED
+from .oracle_base import SCORED, VARIANCE_TENTHS
 from ..operators.registry import invoice_violations, no_violations
 from .scoring import normalise_currency, scored_from_tables
 
@@ -252,9 +252,39 @@ def escalation_level(spark, sf):
     return scored(spark, sf).select("invoice_id", "escalation_level")
 
 
-# reason text (Java vs Python float formatting can differ in the last
-# digit of a percentage, so this key has no hashed oracle).
-@query("decision_notes")
+# reason text; percentages of constants have at most one place, the variance is rounded half-even in cents.
+def _percent_sql(value: str) -> str:
+    return f"printf('%.1f%%', {value} * 100)"
+
+
+def _confidence_note_sql(place: int, gate: str, value: str, actor: str) -> str:
+    return (f"SELECT invoice_id, {place}, '{actor} is only ' || {_percent_sql(value)} "
+            f"|| ' sure, 70% are asked for; a person decides.' FROM s0 WHERE {gate}")
+
+
+NOTES_SQL = f"""{SCORED},
+reasons AS (
+  SELECT invoice_id, 1 AS ord, 'Text recognition is only ' || {_percent_sql("ocr_confidence")}
+    || ' sure, 85% are asked for; check by hand.' AS reason FROM s0 WHERE g_ocr
+  UNION ALL SELECT invoice_id, 2, 'Number ' || invoice_number || ' of ''' || vendor_name || ''' came as ' || duplicate_of
+    || ' in the last 90 days.' FROM s0 WHERE g_dup
+  UNION ALL {_confidence_note_sql(3, "g_conf_extract", "extraction_confidence", "data_extraction_analyst")}
+  UNION ALL SELECT invoice_id, 4, CASE WHEN vendor_anomaly = 'missing_vendor' THEN 'Held for review: no vendor could be read.'
+    ELSE 'Held until ''' || vendor_name || ''' is an approved vendor.' END FROM s0 WHERE g_vendor
+  UNION ALL SELECT invoice_id, 5, 'Total ' || CAST(total AS VARCHAR) || ' against order ' || po_number || ' of '
+    || CAST(po_amount AS VARCHAR) || ': off by ' || {_percent_sql(VARIANCE_TENTHS)} || ', 10% are tolerated.'
+    FROM s0 WHERE g_variance
+  UNION ALL {_confidence_note_sql(6, "g_conf_validate", "validation_confidence", "validation_officer")}
+  UNION ALL SELECT invoice_id, 7, 'Total ' || CAST(total AS VARCHAR) || ' needs approval at ' || CASE materiality_level
+    WHEN 'l3_vp_cfo' THEN '$100,000 L3 VP/CFO' WHEN 'l2_controller' THEN '$25,000 L2 Controller'
+    ELSE '$5,000 L1 Manager' END || '.' FROM s0 WHERE materiality_level IS NOT NULL
+  UNION ALL {_confidence_note_sql(8, "g_conf_anomaly", "anomaly_confidence", "anomaly_detection_specialist")}),
+notes AS (SELECT invoice_id, string_agg(reason, '; ' ORDER BY ord) AS notes FROM reasons GROUP BY invoice_id)
+SELECT scored.invoice_id, scored.n_decisions, coalesce(notes.notes, '') AS notes
+FROM scored LEFT JOIN notes USING (invoice_id)"""
+
+
+@query("decision_notes", NOTES_SQL)
 def decision_notes(spark, sf):
     return scored(spark, sf).select("invoice_id", "n_decisions", "notes")
 
