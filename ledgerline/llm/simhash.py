@@ -1,13 +1,14 @@
 """SimHash near-duplicates by a binary-trie self-join.
 
 1. Each text becomes a 64-bit fingerprint (majority of its shingle hashes).
-2. Distinct fingerprints form a binary trie. Its upper nodes are cut into
-   cells of bounded size from a histogram of 16-bit prefixes (at most 65 536
-   numbers reach the driver, whatever the input).
-3. Each pair of cells whose common prefix bits differ in few enough places is
-   one task group. The task walks the two sub-tries together, level by level,
-   adds up differing bits and drops a node pair as soon as the budget is
-   exceeded; small node pairs are compared bit by bit.
+2. The bits are cut into one block more than may differ. Two fingerprints
+   within the budget agree on a whole block, so each distinct fingerprint goes
+   to one cell for each block: four copies, however large the input. Crowded
+   cells are cut again by the bits that are still free.
+3. In a cell the fingerprints form a binary trie below the bits they share.
+   The task walks it with itself, pairs of nodes level by level, adds up
+   differing bits and drops a pair as soon as the budget is exceeded; small
+   node pairs are compared bit by bit.
 4. A task reports a spanning forest of the links it found, never all pairs of
    a dense group, and connected components join the forests.
 
@@ -26,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, texts, written
+from .common import map_texts, partitions, texts, written
 from .components import connected_components
 
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
-PREFIX_BITS = 16
+CELL = 1 << 18               # fingerprints of a cell at most
 BLOCK = 1 << 16
 FRONTIER = 1 << 17
 
@@ -66,39 +67,33 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return map_texts(docs, batch, "doc_id long, fp long")
 
 
-def cut_trie(prefixes: np.ndarray, counts: np.ndarray, target: int,
-             least_depth: int = 4) -> list[tuple[int, int]]:
-    """Nodes (prefix, depth) that cover the trie, each with at most ``target``
-    fingerprints unless it lies at full prefix depth. ``least_depth`` keeps
-    enough cells for the tasks, and the copies of a fingerprint about as many
-    at every size of the input."""
-    total = np.zeros(1 << PREFIX_BITS, np.int64)
-    total[prefixes] = counts
-    before = np.concatenate([[0], np.cumsum(total)])
-    cells, todo = [], [(0, 0)]
-    while todo:
-        prefix, depth = todo.pop()
-        shift = PREFIX_BITS - depth
-        size = before[(prefix + 1) << shift] - before[prefix << shift]
-        if depth < least_depth or (size > target and depth < PREFIX_BITS):
-            todo += [(prefix * 2, depth + 1), (prefix * 2 + 1, depth + 1)]
-        elif size:
-            cells.append((prefix, depth))
-    return sorted(cells, key=lambda c: c[0] << (PREFIX_BITS - c[1]))
-
-
-def cell_pairs(cells: list[tuple[int, int]], max_bits: int) -> list[np.ndarray]:
-    """For each cell, the cells at or after it that it can have links with."""
-    prefix = np.array([c[0] for c in cells], np.int64)
-    depth = np.array([c[1] for c in cells], np.int64)
-    out = []
-    for i in range(len(cells)):
-        d = np.minimum(depth[i:], depth[i])
-        differ = (prefix[i:] >> (depth[i:] - d)) ^ (prefix[i] >> (depth[i] - d))
-        out.append(i + np.flatnonzero(np.bitwise_count(differ) <= max_bits))
+def free_bits(used: int) -> list[int]:
+    """Bits that no block so far has fixed, the highest first."""
+    return [b for b in range(63, -1, -1) if not used >> b & 1]
+
+
+def blocks_of(used: int, max_bits: int) -> list[list[int]]:
+    """The free bits in ``max_bits`` + 1 blocks, about even: fingerprints that
+    agree on the fixed bits and differ in at most ``max_bits`` others agree on
+    all of one block at least. (Below that many free bits a cell holds at most
+    2 to the power of ``max_bits`` fingerprints and is not cut.)"""
+    return [part.tolist() for part in np.array_split(free_bits(used), max_bits + 1)]
+
+
+def picked(fp: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The bits of ``fp`` at these places, as numbers."""
+    out = np.zeros(len(fp), np.uint64)
+    for b in bits:
+        out = out << np.uint64(1) | (fp >> np.uint64(b) & np.uint64(1))
     return out
 
 
+def turned(fp: np.ndarray, first: list[int], rest: list[int]) -> np.ndarray:
+    """``fp`` with its bits in the order ``first``, ``rest``: the trie below
+    starts with the bits that its fingerprints have in common."""
+    return picked(fp, first) << np.uint64(len(rest)) | picked(fp, rest)
+
+
 class Forest:
     """Union-find over positions that keeps the links that joined two trees."""
 
@@ -131,24 +126,25 @@ class Forest:
             parent[:] = up
 
 
-def trie_links(values: np.ndarray, a: tuple[int, int], b: tuple[int, int], max_bits: int,
-               forest: Forest, leaf: int = 64) -> None:
-    """Walk the sub-tries of the slices ``a`` and ``b`` of ``values`` together.
+def trie_links(values: np.ndarray, common: int, max_bits: int, forest: Forest, leaf: int = 64) -> None:
+    """Walk the trie of ``values`` (sorted) with itself, from the nodes at depth
+    ``common`` on: only values that agree on the bits above are linked.
 
-    ``values`` is sorted inside both slices, so a trie node is a range and its
-    children meet at the first value with the next bit set. ``a == b`` is the
-    self-join of one cell. The frontier is worked off in blocks, depth first,
+    A trie node is a range of values and its children meet at the first value
+    with the next bit set. The frontier is worked off in blocks, depth first,
     which bounds memory."""
-    if a[0] == a[1] or b[0] == b[1]:
+    if len(values) < 2:
         return
-    start = np.array([[a[0], a[1], b[0], b[1], 0]], np.int64)
-    todo = [(0, start)]
+    head = values >> np.uint64(64 - common) if common else np.zeros(len(values), np.uint64)
+    lo = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+    hi = np.append(lo[1:], len(values))
+    lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+    todo = [(common, np.stack((lo, hi, lo, hi, np.zeros(len(lo), np.int64)), axis=1))]
 
-    def middle(lo, hi, depth, base):
+    def middle(lo, hi, depth):
         bit = np.uint64(1) << np.uint64(63 - depth)
         head = values[lo] & ~(bit | (bit - np.uint64(1)))
-        part = values[base[0]:base[1]]
-        return np.clip(base[0] + np.searchsorted(part, head | bit), lo, hi)
+        return np.clip(np.searchsorted(values, head | bit), lo, hi)
 
     while todo:
         depth, nodes = todo.pop()
@@ -163,8 +159,8 @@ def trie_links(values: np.ndarray, a: tuple[int, int], b: tuple[int, int], max_b
         if not len(nodes):
             continue
         same = nodes[:, 0] == nodes[:, 2]
-        ma = middle(nodes[:, 0], nodes[:, 1], depth, a)
-        mb = middle(nodes[:, 2], nodes[:, 3], depth, b)
+        ma = middle(nodes[:, 0], nodes[:, 1], depth)
+        mb = middle(nodes[:, 2], nodes[:, 3], depth)
         alo, ahi, blo, bhi, diff = nodes.T
         children = [np.stack(c, axis=1) for c in (
             (alo, ma, blo, mb, diff), (ma, ahi, mb, bhi, diff), (alo, ma, mb, bhi, diff + 1))]
@@ -189,57 +185,61 @@ def compare(values: np.ndarray, nodes: np.ndarray, max_bits: int, forest: Forest
     forest.add(i[near], j[near])
 
 
-def near_links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, target: int = 1 << 18) -> DataFrame:
+def route(rows: DataFrame, max_bits: int) -> DataFrame:
+    """Each row (fp, used) once for each block of its free bits: ``used`` then
+    has the block's bits too, and ``cell`` is what the fingerprint has there."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            fps, masks = pdf["fp"].to_numpy().view(np.uint64), pdf["used"].to_numpy().view(np.uint64)
+            for used in np.unique(masks):
+                fp = fps[masks == used]
+                for bits in blocks_of(int(used), max_bits):
+                    mask = used | np.bitwise_or.reduce(np.uint64(1) << np.array(bits, np.uint64))
+                    yield pd.DataFrame({"fp": fp.view(np.int64), "used": np.full(len(fp), mask).view(np.int64),
+                                        "cell": (fp & mask).view(np.int64)})
+    return rows.mapInPandas(run, "fp long, used long, cell long")
+
+
+def walk(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
+    """The links in cells that have the same bits fixed. With these bits put
+    first, the cells are the nodes of one trie at the depth where they end."""
+    used = int(pdf["used"].iloc[0]) & (1 << 64) - 1
+    fixed = [b for b in range(63, -1, -1) if used >> b & 1]
+    fp = pdf["fp"].to_numpy()
+    values = turned(fp.view(np.uint64), fixed, free_bits(used))
+    order = np.argsort(values, kind="stable")
+    values, fp = values[order], fp[order]
+    forest = Forest(len(values))
+    trie_links(values, len(fixed), max_bits, forest)
+    links = np.array(forest.links, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": fp[links[:, 0]], "b": fp[links[:, 1]]})
+
+
+def near_links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, target: int = CELL) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) at ``max_bits``
-    or fewer differing bits: a spanning forest of each cell pair, so that the
-    components are those of all links."""
+    or fewer differing bits: a spanning forest of each group of cells, so that
+    the components are those of all links.
+
+    Cells over ``target`` fingerprints are routed on by their free bits until
+    they are small; only their rows get more copies. Cells are small at the
+    latest when all bits are fixed, as fingerprints are distinct."""
     spark = distinct_fps.sparkSession
-    prefix = F.shiftrightunsigned(F.col("fp"), 64 - PREFIX_BITS).cast("int")
-    hist = distinct_fps.groupBy(prefix.alias("p")).count().toPandas()   # <= 2^16 rows
-    if hist.empty:
-        return spark.createDataFrame([], "a long, b long")
-    cells = cut_trie(hist["p"].to_numpy(), hist["count"].to_numpy(),
-                     max(target, int(hist["count"].sum()) // 4096))
-    partners = cell_pairs(cells, max_bits)
-    n = len(cells)
-    starts = np.array([c[0] << (PREFIX_BITS - c[1]) for c in cells], np.int64)
-    routes: list[list[int]] = [[] for _ in cells]     # cell -> the pair groups it goes to
-    for i, js in enumerate(partners):
-        for j in js.tolist():
-            routes[i].append(i * n + j)
-            if j != i:
-                routes[j].append(i * n + j)
-    routes = [np.array(r, np.int64) for r in routes]
-
-    def cell_of(fp: np.ndarray) -> np.ndarray:
-        return np.searchsorted(starts, (fp >> np.uint64(64 - PREFIX_BITS)).astype(np.int64), "right") - 1
-
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            fp = pdf["fp"].to_numpy().view(np.uint64)
-            cell = cell_of(fp)
-            for c in np.unique(cell):
-                mine, to = pdf["fp"].to_numpy()[cell == c], routes[c]
-                yield pd.DataFrame({"pair": np.repeat(to, len(mine)), "fp": np.tile(mine, len(to))})
-
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = divmod(int(key[0]), n)
-        fp = pdf["fp"].to_numpy().view(np.uint64)
-        cell = cell_of(fp)
-        left, right = np.sort(fp[cell == i]), np.sort(fp[cell == j])
-        if i == j:
-            values, a, b = left, (0, len(left)), (0, len(left))
-        else:
-            values = np.concatenate([left, right])
-            a, b = (0, len(left)), (len(left), len(values))
-        forest = Forest(len(values))
-        trie_links(values, a, b, max_bits, forest)
-        links = np.array(forest.links, np.int64).reshape(-1, 2)
-        signed = values.view(np.int64)
-        return pd.DataFrame({"a": signed[links[:, 0]], "b": signed[links[:, 1]]})
-
-    routed = distinct_fps.select("fp").mapInPandas(route, "pair long, fp long")
-    return routed.groupBy("pair").applyInPandas(walk, "a long, b long")
+    target = max(target, 1 << max_bits)
+    rows, links = distinct_fps.select("fp", F.lit(0).cast("long").alias("used")), None
+    while True:
+        cells = route(rows, max_bits)
+        crowded = written(cells.groupBy("used", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > target)
+                          .select("used", "cell"), "crowded-cells")
+        more = not crowded.isEmpty()
+        small = cells.join(crowded, ["used", "cell"], "left_anti") if more else cells
+        # small cells share a group, so that a call's cost is in its rows
+        groups = max(partitions(spark), rows.count() // target)
+        found = (small.withColumn("part", F.pmod(F.xxhash64("used", "cell"), F.lit(groups))).groupBy("used", "part")
+                 .applyInPandas(lambda pdf: walk(pdf, max_bits), "a long, b long"))
+        links = found if links is None else links.unionByName(found)
+        if not more:
+            return links
+        rows = written(cells.join(crowded, ["used", "cell"], "left_semi").select("fp", "used").distinct(), "crowded-rows")
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,

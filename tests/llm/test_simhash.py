@@ -81,6 +81,34 @@ def test_trie_finds_every_component_in_dense_and_sparse_sets(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, expect.values()))
 
 
+def classes(links, fps):
+    roots = {r.node: r.root for r in connected_components(links).collect()}
+    out = {}
+    for f in fps:
+        s = int(np.uint64(f).view(np.int64))
+        out.setdefault(roots.get(s, s), set()).add(f)
+    return sorted(map(sorted, out.values()))
+
+
+def test_cells_are_cut_by_their_free_bits(spark):
+    """All fingerprints share 24 bits, many share more; two differ only in the last bits that get free."""
+    rng = np.random.default_rng(3)
+    top = 0xABCDEF << 40
+    fps = {top | int(x) for x in rng.integers(0, 1 << 40, 700)} | {top | int(x) for x in rng.integers(0, 1 << 12, 500)}
+    fps = sorted(fps | {top ^ (1 << 63), top ^ (1 << 62 | 1 << 30 | 1)})
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    want = {}
+    for f, c in brute_components(fps, fps).items():
+        want.setdefault(c, set()).add(f)
+    assert classes(simhash.near_links(df, 3, target=60), fps) == sorted(map(sorted, want.values()))
+
+
+def test_copies_do_not_grow(spark):
+    for n in (100, 4000):
+        rows = spark.range(n).selectExpr("xxhash64(id) AS fp", "0L AS used")
+        assert simhash.route(rows, 3).count() == 4 * n
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(200)] + [(5000, 5000)]
     got = {r.node: r.root for r in connected_components(
