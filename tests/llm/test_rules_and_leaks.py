@@ -95,6 +95,17 @@ def test_order_by_rejection_per_cost():
     assert cascade.order({"slow": (1.0, 0.5), "quick": (0.1, 0.2), "never": (0.01, 0.0)}) == ["quick", "slow", "never"]
 
 
+def test_costs_are_those_paid(spark):
+    """Rules start from the reported figures, and none from another one's."""
+    t = cascade.reported("One line of words here\n" * 4)
+    assert set(cascade.REPORTED) <= set(vars(t)) and "bytes_seen" not in vars(t)
+    seen = {"first": lambda x: "bytes_seen" in vars(x) or not x.bytes_seen.sum(),
+            "second": lambda x: "bytes_seen" in vars(x) or "n_repeat_words" not in vars(x)}
+    df = spark.createDataFrame([(i, "some words") for i in range(20)], "doc_id long, text string")
+    figures = cascade.measure(df, seen)
+    assert [figures[r][1] for r in ("first", "second")] == [0.0, 0.0]
+
+
 def test_cascade_oracle(spark, duck, sf_dir):
     from ledgerline.llm.queries import ORACLES, QUERIES
     df = QUERIES["op8_quality_rules"](spark, sf_dir)
