@@ -83,7 +83,10 @@ def add_to_history(batch: DataFrame, base: str, number: int, buckets: int) -> li
     rows = keyed(batch, buckets).withColumn("batch", F.lit(number).cast("bigint"))
     (rows.drop("_n", "_v").repartition("bucket", "quarter").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "quarter", "batch").parquet(f"{base}/rows"))
-    return sorted((r.bucket, r.quarter) for r in rows.select("bucket", "quarter").distinct().collect())
+    # from the folders: the batch is not computed again
+    written = (batch.sparkSession.read.schema("bucket int, quarter int, batch bigint").parquet(f"{base}/rows")
+               .where(F.col("batch") == number))
+    return sorted((r.bucket, r.quarter) for r in written.select("bucket", "quarter").distinct().collect())
 
 
 def history_near(spark: SparkSession, schema: StructType, base: str, number: int, touched: list[tuple[int, int]],
@@ -104,17 +107,21 @@ def history_near(spark: SparkSession, schema: StructType, base: str, number: int
 def touched_invoices(batch: DataFrame, base: str, number: int, policy: Policy, buckets: int) -> DataFrame | None:
     """The invoices whose flags this batch decides, with all columns and their
     flags: its own and those of its keys from its first row on. Only ``valid``
-    invoices are stored and can be the earlier one of a pair."""
+    invoices are stored and can be the earlier one of a pair. Its own rows are
+    all wanted: only older ones are joined to the times of its keys."""
     touched = add_to_history(batch, base, number, buckets)
     if not touched:
         return None
     days = int(policy.duplicate_days) + 1
     seen = history_near(batch.sparkSession, batch.schema, base, number, touched, days)
-    around = (seen.where(F.col("batch") == number).groupBy("_n", "_v")
-              .agg(F.min("created_at").alias("_lo"), F.max("created_at").alias("_hi")))
-    near = (seen.join(around, ["_n", "_v"])
-            .where(F.expr(f"created_at BETWEEN _lo - INTERVAL {days} DAYS AND _hi + INTERVAL {days} DAYS")))
-    return duplicate_history(near, policy, witness=F.col("valid")).where("created_at >= _lo")
+    own = seen.where(F.col("batch") == number).withColumn("_decided", F.lit(True))
+    if seen.where(F.col("batch") < number).isEmpty():
+        return duplicate_history(own, policy, witness=F.col("valid")).drop("_decided")
+    around = own.groupBy("_n", "_v").agg(F.min("created_at").alias("_lo"), F.max("created_at").alias("_hi"))
+    older = (seen.where(F.col("batch") < number).join(around, ["_n", "_v"])
+             .where(F.expr(f"created_at BETWEEN _lo - INTERVAL {days} DAYS AND _hi + INTERVAL {days} DAYS"))
+             .withColumn("_decided", F.expr("created_at >= _lo")).drop("_lo", "_hi"))
+    return duplicate_history(own.unionByName(older), policy, witness=F.col("valid")).where("_decided").drop("_decided")
 
 
 def duplicates_step(base: str, policy: Policy = DEFAULT_POLICY, buckets: int = BUCKETS):
