@@ -319,24 +319,31 @@ def policy_context(invoice_queries: DataFrame, fixed: dict[int, str], corpus: Da
     own = (terms.join(hits, "term").groupBy("q_no", "own", "chunk_id").agg(F.sum("times").cast("int").alias("_own"))
            .join(based, ["q_no", "chunk_id"])
            .select("q_no", "own", *at, "same", (F.col("_own") + F.col("base")).alias("score")))
+    own = shared_table(own, "policy-own")
     # at most per_query rows for each of the fixed queries
-    plain = F.broadcast(_best(based.where("base > 0").withColumnRenamed("base", "score"), ["q_no"], per_query).drop("rank"))
-    found = (own.unionByName(kinds.join(plain, "q_no")).groupBy("q_no", "own", *at, "same")
+    plain = _best(based.where("base > 0").withColumnRenamed("base", "score"), ["q_no"], per_query)
+    top = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "same"))).alias
+    plain_tops = F.broadcast(plain.groupBy("q_no").agg(top("_plain")))
+    # own texts that no passage holds have the passages of the fixed words
+    hit = own.select("q_no", "own").distinct()
+    found = (own.unionByName(hit.join(F.broadcast(plain.drop("rank")), "q_no")).groupBy("q_no", "own", *at, "same")
              .agg(F.max("score").alias("score")))
-    best = _best(found, ["q_no", "own"], per_query)
-    tops = best.groupBy("q_no", "own").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "same"))).alias("top"))
-    lists = (asked.join(tops, ["q_no", "own"], "left").groupBy("invoice_id")
-             .agg(F.array_sort(F.collect_list(F.struct("q_no", "top"))).alias("_l")))
+    tops = shared_table(_best(found, ["q_no", "own"], per_query).groupBy("q_no", "own").agg(top("_top")), "policy-tops")
+    lists = (asked.join(tops, ["q_no", "own"], "left").join(plain_tops, "q_no", "left")
+             .groupBy("invoice_id")
+             .agg(F.array_sort(F.collect_list(F.struct("q_no", F.coalesce("_top", "_plain").alias("top")))).alias("_l")))
     lists = lists.withColumn("_l", F.flatten(F.transform(F.filter("_l", lambda x: x["top"].isNotNull()),
                                                          lambda x: x["top"])))
     lists = lists.withColumn("_s", F.transform("_l", lambda x: x["same"]))
     first = F.filter("_l", lambda x, i: F.array_position("_s", x["same"]) == i + 1)
     kept = shared_table(lists.select("invoice_id", F.transform(F.slice(first, 1, keep), lambda x: x["chunk_id"])
                                      .alias("ids")), "policy-lists")
-    # each distinct list of passages is written out once
+    # each distinct list of passages is written out once, and stored before the
+    # join: few lists go to every task, and of many a common one can be split
     parts = kept.select("ids").distinct().select("ids", F.posexplode("ids").alias("pos", "chunk_id"))
     text = passages.select("chunk_id", F.format_string("[%s] %s", "source", "text").alias("t"))
-    context = parts.join(text, "chunk_id").groupBy("ids").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n\n---\n\n").alias("context"))
+    context = shared_table(parts.join(text, "chunk_id").groupBy("ids").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n\n---\n\n").alias("context")),
+        "policy-contexts")
     return (kept.join(context, "ids", "left")
             .select("invoice_id", F.coalesce("context", F.lit("No relevant policy context found.")).alias("context")))

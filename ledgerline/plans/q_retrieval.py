@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.cols import compact
 from ..operators import retrieval as J
 from ..operators.registry import no_violations
 from ..policy import CHUNK_MIN_CHARS
@@ -151,9 +152,9 @@ def policy_context(spark, sf):
     """Per stored invoice: the amount query and (if a vendor is named) the
     vendor query against the policy corpus (the benchmark passages)."""
     st = invoices(spark, sf).where(no_violations())
-    own = F.array_compact(F.array(
+    own = compact(
         F.struct(F.lit(1).alias("q_no"), F.col("total").cast("double").cast("string").alias("own")),
-        F.when(F.col("vendor_name") != "", F.struct(F.lit(2).alias("q_no"), F.col("vendor_name").alias("own")))))
+        F.when(F.col("vendor_name") != "", F.struct(F.lit(2).alias("q_no"), F.col("vendor_name").alias("own"))))
     asked = st.select("invoice_id", F.inline(own))
     b = read_table(spark, sf, "benchmark", "item_id", "text")
     corpus = b.select(F.md5(F.concat(F.lit("benchmark:"), F.col("item_id").cast("string"))).alias("chunk_id"),
