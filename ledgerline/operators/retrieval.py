@@ -329,9 +329,10 @@ def policy_context(invoice_queries: DataFrame, fixed: dict[int, str], corpus: Da
     found = (own.unionByName(hit.join(F.broadcast(plain.drop("rank")), "q_no")).groupBy("q_no", "own", *at, "same")
              .agg(F.max("score").alias("score")))
     tops = shared_table(_best(found, ["q_no", "own"], per_query).groupBy("q_no", "own").agg(top("_top")), "policy-tops")
+    # a query without an own text is none
+    of_query = F.coalesce("_top", F.when(F.col("own").isNotNull(), F.col("_plain")))
     lists = (asked.join(tops, ["q_no", "own"], "left").join(plain_tops, "q_no", "left")
-             .groupBy("invoice_id")
-             .agg(F.array_sort(F.collect_list(F.struct("q_no", F.coalesce("_top", "_plain").alias("top")))).alias("_l")))
+             .groupBy("invoice_id").agg(F.array_sort(F.collect_list(F.struct("q_no", of_query.alias("top")))).alias("_l")))
     lists = lists.withColumn("_l", F.flatten(F.transform(F.filter("_l", lambda x: x["top"].isNotNull()),
                                                          lambda x: x["top"])))
     lists = lists.withColumn("_s", F.transform("_l", lambda x: x["same"]))

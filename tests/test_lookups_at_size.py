@@ -65,7 +65,7 @@ def test_common_passage_lists_meet_no_aggregate(spark, capsys):
     corpus = spark.createDataFrame([("c1", 1, 0, "s", "terms of payment"), ("c2", 2, 0, "s", "payment to acme"),
                                     ("c3", 3, 0, "s", "other words")],
                                    "chunk_id string, doc_id long, chunk_index int, source string, text string")
-    asked = spark.createDataFrame([(f"i{i}", 2, "nobody") for i in range(9)] + [("j", 2, "acme"), ("k", 7, "nobody")],
+    asked = spark.createDataFrame([(f"i{i}", 2, "nobody") for i in range(9)] + [("j", 2, "acme"), ("k", 7, "nobody"), ("n", 2, None)],
                                   "invoice_id string, q_no int, own string")
     got = retrieval.policy_context(asked, {2: "payment terms"}, corpus)
     text = plan(got, capsys)
@@ -74,7 +74,7 @@ def test_common_passage_lists_meet_no_aggregate(spark, capsys):
     one, two = "[s] terms of payment", "[s] payment to acme"
     rule = "\n\n---\n\n"
     assert rows == {**{f"i{i}": one + rule + two for i in range(9)}, "j": one + rule + two,
-                    "k": "No relevant policy context found."}
+                    "k": "No relevant policy context found.", "n": "No relevant policy context found."}
 
 
 def test_a_micro_batch_is_computed_once_for_its_history(spark, tmp_path):
