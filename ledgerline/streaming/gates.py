@@ -59,7 +59,7 @@ def stream_folder(spark: SparkSession, name: str) -> str:
 def storable(inv: DataFrame) -> DataFrame:
     """Adds ``valid``: the invoice breaks no row constraint."""
     usd = inv.withColumn("currency", F.coalesce("currency", F.lit("USD")))
-    return invoice_violations(usd).withColumn("valid", no_violations())
+    return invoice_violations(usd).withColumn("valid", no_violations()).drop("storable")
 
 
 def quarter_of(at: Column) -> Column:

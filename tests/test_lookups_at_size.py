@@ -90,3 +90,21 @@ def test_a_micro_batch_is_computed_once_for_its_history(spark, tmp_path):
         F.udf(count, "boolean")("invoice_id"))
     assert len(gates.add_to_history(batch, str(tmp_path), 0, 4)) == 1
     assert seen.value == 5
+
+
+def test_a_filter_on_the_status_reads_each_gate_once(scored, capsys):
+    """No list is built and no condition is repeated to know whether a row is kept."""
+    kept = scored.where(registry.no_violations() & F.col("status").isin("flagged", "on_hold", "rejected"))
+    text = plan(kept.select("invoice_id", "status"), capsys)
+    line = max((x for x in text.split("\n") if "Filter" in x), key=len)
+    assert "size(" not in text and "remainder" not in line and "% 1" not in line
+    assert line.count("ocr_used") == 1 and line.count("0.4") == 0
+    assert {(r.invoice_id, r.status) for r in kept.collect()} == {
+        (r.invoice_id, r.status) for r in scored.collect() if not r.violations and r.status in ("flagged", "on_hold", "rejected")}
+
+
+def test_days_of_invoice_ids_are_formatted_alike(spark):
+    days = ["0001-01-01", "0999-12-31", "1000-01-01", "1996-09-03", "9999-12-31"]
+    df = spark.createDataFrame([(d,) for d in days] + [(None,)], "d string").select(F.expr("cast(d AS timestamp_ntz)").alias("t"))
+    assert all(r.a == r.b for r in df.select(domain._day_digits(F.col("t")).alias("a"),
+                                             F.date_format("t", "yyyyMMdd").alias("b")).collect())
