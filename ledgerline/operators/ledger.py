@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import EXCHANGES_DROPPED, settings
 from .registry import upsert
 
 BUCKETS = 256  # fixed when a ledger is created; more for a larger one
@@ -33,7 +34,9 @@ def _places(spark: SparkSession, path: str) -> list:
 
 
 def _write(rows: DataFrame, path: str, merge: str, seq: int, touched: list[int], buckets: int) -> None:
-    (rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/merge={merge}"))
+    with settings(rows.sparkSession, EXCHANGES_DROPPED):
+        (rows.hint("rebalance", "bucket").write.option("compression", "zstd").mode("overwrite").partitionBy("bucket")
+         .parquet(f"{path}/data/merge={merge}"))
     # one small file that appears whole: the commit
     (rows.sparkSession.createDataFrame([(seq, merge, b, buckets) for b in touched],
                                        "seq long, merge string, bucket int, buckets int")

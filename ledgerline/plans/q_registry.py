@@ -248,6 +248,8 @@ SELECT invoice_id, CASE WHEN {STORABLE} AND {GOOD_ORDER} THEN status ELSE 'rejec
 def batch_with_line_errors(spark, sf):
     """An invoice whose record has a bad line is an error item, and no
     earlier invoice for the duplicate test."""
-    scored_rows = score(invoices_with_damaged_lines(spark, sf), domain.vendors(spark, sf), domain.po_amounts(spark, sf))
+    # stored: the duplicate history reads them more than once
+    inv = shared_table(invoices_with_damaged_lines(spark, sf), "checked-invoices")
+    scored_rows = score(inv, domain.vendors(spark, sf), domain.po_amounts(spark, sf))
     return report.batch_items(scored_rows, ~G.no_violations()).select(
         "invoice_id", "status", F.array_join("anomaly_flags", ",").alias("anomaly_flags"))
