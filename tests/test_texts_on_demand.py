@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 from test_golden_rows import ORDERS, POLICY, SCHEMA, VENDORS, invoice
 
+from ledgerline.functions import text as T
 from ledgerline.operators import audit, governance, review
+from ledgerline.operators import extract as X
 from ledgerline.plans.scoring import score
+from ledgerline.policy import FIELD_PATTERNS
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +56,20 @@ def test_events_are_moved_before_they_are_exploded(scored, capsys):
     text = plan(placed, capsys)
     assert text.index("Generate") < text.index("Exchange")
     assert rows(placed) == rows(audit.trail_positions(audit.lifecycle_events(scored, reviews, POLICY)))
+
+
+def test_patterns_are_tried_one_after_the_other(spark, capsys):
+    """As the nested form, NULL and odd texts included; each pattern stands once in the plan."""
+    lines = ["Invoice #: A-1", "inv no. B-2", "PO Number: 7", "From: Acme Ltd\n", "vendor: Bolt & Co\n", "Total Due: $5.00",
+             "amount due 7.1", "Date: 1/2/2024", "dated March 3, 2024", "Invoice Date: ", "EUR", "vat 3", "From: \n"]
+    texts = [None, "", " "] + ["\n".join(lines[i::k]) for k in (1, 2, 3, 5) for i in range(k)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    for parity in (False, True):
+        found = T.with_first_matches(df, "x", FIELD_PATTERNS, parity)
+        nested = df.select("i", *[c.alias(f"{f}_raw") for f, c in T.extract_raw(F.col("x"), parity).items()])
+        assert sorted(map(str, found.select(*nested.columns).collect())) == sorted(map(str, nested.collect()))
+    capsys.readouterr()
+    X.extraction_prompts(X.with_extraction_confidence(df, "x"), "x").select("i", F.md5("prompt")).explain()
+    text = capsys.readouterr().out
+    assert text.count("regexp_extract(") == sum(len(FIELD_PATTERNS[f]) for f in T.KEY_FIELDS)
+    assert text.count("Project") > max(len(FIELD_PATTERNS[f]) for f in T.KEY_FIELDS)
