@@ -104,7 +104,7 @@ def ledger_merge(spark, sf):
     ledger.merge_ledger(kind(rows.where(~approved), "unknown"), path, "invoice_id", "held")
     ledger.merge_ledger(kind(rows.where(approved), "unknown"), path, "invoice_id", "approved")
     changes = _review_status(saved(spark, sf)).select("invoice_id", "status")
-    known = changes.join(rows, "invoice_id", "left_semi")
+    known = shared_table(changes.join(rows, "invoice_id", "left_semi"), "ledger-changes")  # read twice
     ledger.merge_ledger(known, path, "invoice_id", "reviews")
     return ledger.read_ledger(spark, path)
 
