@@ -33,7 +33,7 @@ from ..functions.cols import missing
 from ..operators.enrich import duplicate_history
 from ..operators.registry import invoice_violations, no_violations
 from ..policy import DEFAULT_POLICY, Policy
-from ..session import ensure_checkpoint_dir
+from ..session import EXCHANGES_DROPPED, ensure_checkpoint_dir, settings
 from ..sources import domain
 
 FLAG_COLUMNS = ("is_duplicate", "duplicate_of", "duplicate_of_created_at")
@@ -76,13 +76,19 @@ def keyed(batch: DataFrame, buckets: int) -> DataFrame:
         "quarter": quarter_of(F.col("created_at"))})
 
 
+def write(rows: DataFrame, path: str, *folders: str) -> None:
+    """Writes a micro-batch's rows, in place of those there; the exchanges they came by are gone then."""
+    with settings(rows.sparkSession, EXCHANGES_DROPPED):
+        (rows.write.option("compression", "zstd").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*folders).parquet(path))
+
+
 def add_to_history(batch: DataFrame, base: str, number: int, buckets: int) -> list[tuple[int, int]]:
     """Writes the batch into the history (its own folders are replaced) and
     returns the buckets and quarters it touched (at most ``buckets`` times the
     quarters of its rows)."""
     rows = keyed(batch, buckets).withColumn("batch", F.lit(number).cast("bigint"))
-    (rows.drop("_n", "_v").repartition("bucket", "quarter").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "quarter", "batch").parquet(f"{base}/rows"))
+    write(rows.drop("_n", "_v").repartition("bucket", "quarter"), f"{base}/rows", "bucket", "quarter", "batch")
     # from the folders: the batch is not computed again
     written = (batch.sparkSession.read.schema("bucket int, quarter int, batch bigint").parquet(f"{base}/rows")
                .where(F.col("batch") == number))
@@ -129,7 +135,7 @@ def duplicates_step(base: str, policy: Policy = DEFAULT_POLICY, buckets: int = B
     def step(batch: DataFrame, number: int) -> None:
         flags = touched_invoices(batch, base, number, policy, buckets)
         if flags is not None:
-            flags.select("invoice_id", *FLAG_COLUMNS).write.mode("overwrite").parquet(f"{base}/flags/batch={number}")
+            write(flags.select("invoice_id", *FLAG_COLUMNS), f"{base}/flags/batch={number}")
     return step
 
 
@@ -146,8 +152,7 @@ def gates_step(base: str, vendors: DataFrame, pos: DataFrame, policy: Policy = D
         if flagged is not None:
             rows = rows.unionByName(flagged.select(*columns, *FLAG_COLUMNS))
         scored = score(rows.drop("violations", "valid"), vendors, pos, policy, duplicates=None)
-        (scored.select("invoice_id", *STATUS_COLUMNS).write.mode("overwrite")
-         .parquet(f"{base}/statuses/batch={number}"))
+        write(scored.select("invoice_id", *STATUS_COLUMNS), f"{base}/statuses/batch={number}")
     return step
 
 

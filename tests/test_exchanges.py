@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from test_golden_rows import ORDERS, POLICY, SCHEMA, VENDORS, invoice
 
 from ledgerline.joins import hash_bits, may_have, small_side
-from ledgerline.operators import audit
+from ledgerline.operators import audit, ledger
 from ledgerline.operators.enrich import duplicate_history, match_vendors
 from ledgerline.plans.scoring import score
 from ledgerline.session import shared_table
+from ledgerline.streaming import gates
 
 
 def plan(df, capsys) -> str:
@@ -98,3 +99,14 @@ def test_events_by_month_are_written_without_an_exchange_or_sort(spark, tmp_path
     back = spark.read.parquet(f"{tmp_path}/log")
     assert sorted(map(str, back.select(*columns).collect())) == sorted(
         map(str, audit.lifecycle_events(scored, policy=POLICY).select(*columns).collect()))
+
+
+def test_exchanges_of_a_micro_batch_and_of_a_merge_are_dropped(spark, tmp_path):
+    rows = spark.range(200).select(F.concat(F.lit("i"), F.col("id")).alias("invoice_id"), (F.col("id") % 3).alias("part"),
+                                   F.lit("processing").alias("status"))
+    before = shuffle_files(spark)
+    gates.write(rows.repartition("part"), f"{tmp_path}/rows", "part")
+    assert shuffle_files(spark) <= before
+    ledger.create_ledger(rows.drop("part"), f"{tmp_path}/ledger", "invoice_id", buckets=4)
+    assert shuffle_files(spark) <= before
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == ledger.read_ledger(spark, f"{tmp_path}/ledger").count() == 200
