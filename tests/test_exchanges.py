@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_golden_rows import ORDERS, POLICY, SCHEMA, VENDORS, invoice
 
+import __spark_entry__ as E
 from ledgerline.joins import hash_bits, may_have, small_side
 from ledgerline.operators import audit, ledger
 from ledgerline.operators.enrich import duplicate_history, match_vendors
@@ -110,3 +111,8 @@ def test_exchanges_of_a_micro_batch_and_of_a_merge_are_dropped(spark, tmp_path):
     ledger.create_ledger(rows.drop("part"), f"{tmp_path}/ledger", "invoice_id", buckets=4)
     assert shuffle_files(spark) <= before
     assert spark.read.parquet(f"{tmp_path}/rows").count() == ledger.read_ledger(spark, f"{tmp_path}/ledger").count() == 200
+
+
+def test_checks_do_not_compute_the_history(spark, sf_dir, capsys):
+    for name in ("validation_overall", "validation_report", "po_variance"):
+        assert "getbit" not in plan(E.queries()[name](spark, sf_dir), capsys)
